@@ -50,7 +50,8 @@ FULFILMENT_COLUMNS = [
 
 def shipment_lookups(t: Mapping[str, DataFrame], entity: int = DEFAULT_ENTITY) -> tuple[DataFrame, DataFrame]:
     """Per (notice, order) key: the first shipment, and the sorted distinct invoice-line
-    shipment numbers and invoice numbers (one aggregate builds both lists)."""
+    shipment numbers and invoice numbers. One aggregate builds both lists; ``collect_set``
+    deduplicates in the partial (map-side) step, so only distinct values are shuffled."""
     ships = drop_null_keys(t["xmdk_t"].filter(F.col("xmdkent") == entity), ["xmdk005", "xmdk006"])
     first = first_per_key(ships, ["xmdk005", "xmdk006"], ["xmdkdocno", "xmdk001", "xmdkent"],
                           ["xmdk005", "xmdk006", "xmdkdocno", "xmdk001"])
@@ -61,7 +62,6 @@ def shipment_lookups(t: Mapping[str, DataFrame], entity: int = DEFAULT_ENTITY) -
         .join(inv_lines, (F.col("xmdkdocno") == F.col("isag002")) & (F.col("xmdk006") == F.col("isag019")), "inner")
         .join(invoices, F.col("isagdocno") == F.col("isafdocno"), "left")
         .select("xmdk005", "xmdk006", "isag002", "isaf011")
-        .distinct()
     )
     lists = billed.groupBy("xmdk005", "xmdk006").agg(
         distinct_list("isag002", LIST_SEP).alias("isag002_list"),
