@@ -46,11 +46,13 @@ def blanks_to_null(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def read_erp_lake(spark: SparkSession, root: str, fmt: str = "parquet", normalise_blanks: bool = True) -> Tables:
+def read_erp_lake(spark: SparkSession, root: str, fmt: str = "parquet", normalise_blanks: bool = False) -> Tables:
     """ERP tables stored as ``<root>/<table>`` folders (Parquet by default) with declared schemas.
 
     Facts written clustered by document date (see ``write_erp_lake``) let the pushed date range
-    skip row groups by their min/max statistics.
+    skip row groups by their min/max statistics. ``write_erp_lake`` already stores empty text
+    as NULL; pass ``normalise_blanks=True`` only for files written by other tools (the wrapper
+    then stops string equality filters from reaching the scan; date and number filters still do).
     """
 
     def build(name: str) -> DataFrame:
@@ -86,7 +88,8 @@ def read_erp_jdbc(
                                  numPartitions=num_partitions, properties=properties)
         else:
             df = spark.read.jdbc(url, name, properties=properties)
-        return blanks_to_null(df.toDF(*[c.lower() for c in df.columns]))
+        # The source database stores empty text as NULL already: no normalisation needed.
+        return df.toDF(*[c.lower() for c in df.columns])
 
     return Tables(list(ERP_SCHEMAS), build)
 
@@ -101,15 +104,16 @@ def read_driver_tables(spark: SparkSession, sf_dir: str) -> Tables:
 
 
 def write_erp_lake(tables: Mapping[str, DataFrame], root: str, names: list[str] | None = None,
-                   mode: str = "overwrite") -> None:
-    """Store ERP tables as Parquet folders, facts range-clustered by their document date.
+                   mode: str = "overwrite", normalise_blanks: bool = True) -> None:
+    """Store ERP tables as Parquet folders, facts sorted by their document date within each
+    file (tight row-group min/max for the pushed date ranges), empty text stored as NULL.
 
     Each table is one distributed write; a lost executor only re-runs its own tasks.
     """
     from .schemas import DOCUMENT_DATES
 
     for name in names or list(tables):
-        df = tables[name]
+        df = blanks_to_null(tables[name]) if normalise_blanks else tables[name]
         date_col = DOCUMENT_DATES.get(name)
         if date_col is not None:
             df = df.sortWithinPartitions(date_col)
