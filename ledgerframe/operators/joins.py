@@ -28,3 +28,4 @@ def drop_null_keys(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     for c in cols:
         cond = cond & F.col(c).isNotNull()
     return df.filter(cond)
+

@@ -121,7 +121,9 @@ def report_order_fulfilment(t: Mapping[str, DataFrame], dates: DateRange, entity
         "xmda033", "oofb011", "isag002_list", "isaf011_list", "xmdg008", "ooibl004", "xmdg009", "oocql004",
     )
     if ordered:
-        out = out.orderBy(F.col("__docdt").asc_nulls_last())
+        # ORDER BY the raw notice date (O4); document number and order break ties.
+        out = out.orderBy(F.col("__docdt").asc_nulls_last(), F.col("xmdgdocno").asc_nulls_last(),
+                          F.col("xmdh001").asc_nulls_last())
     return out.drop("__docdt")
 
 

@@ -104,17 +104,26 @@ def read_driver_tables(spark: SparkSession, sf_dir: str) -> Tables:
 
 
 def write_erp_lake(tables: Mapping[str, DataFrame], root: str, names: list[str] | None = None,
-                   mode: str = "overwrite", normalise_blanks: bool = True) -> None:
-    """Store ERP tables as Parquet folders, facts sorted by their document date within each
-    file (tight row-group min/max for the pushed date ranges), empty text stored as NULL.
-
-    Each table is one distributed write; a lost executor only re-runs its own tasks.
+                   mode: str = "overwrite", normalise_blanks: bool = True, files: int | None = None) -> None:
+    """Store ERP tables as Parquet folders with empty text stored as NULL.
+
+    With ``files`` set, each large table is written as that many files: document headers
+    range-clustered by their report date, lines and other large tables hash-clustered by their
+    document key (size ``files`` so a file holds about 128 MB). Small label tables keep one
+    file. Without ``files`` the incoming partitioning is kept and rows are only sorted by the
+    document date within each file. Each table is one distributed write; a lost executor only
+    re-runs its own tasks.
     """
-    from .schemas import DOCUMENT_DATES
+    from .schemas import CLUSTER_KEYS, DOCUMENT_DATES
 
     for name in names or list(tables):
         df = blanks_to_null(tables[name]) if normalise_blanks else tables[name]
         date_col = DOCUMENT_DATES.get(name)
+        key_col = CLUSTER_KEYS.get(name)
+        if files is not None and date_col is not None:
+            df = df.repartitionByRange(files, date_col)
+        elif files is not None and key_col is not None:
+            df = df.repartition(files, key_col)
         if date_col is not None:
             df = df.sortWithinPartitions(date_col)
         df.write.mode(mode).parquet(f"{root}/{name}")

@@ -54,7 +54,8 @@ ERP_SCHEMAS: dict[str, str] = {
     "xrce_t": "xrce054 string, xrce003 string, xrcedocno string",
 }
 
-# Columns a lake layout can partition by (document year and month) for partition pruning.
+# Document headers and the date the reports filter them by: stored range-clustered by it, so
+# a pushed date range skips whole files and row groups by their min/max statistics.
 DOCUMENT_DATES: dict[str, str] = {
     "apca_t": "apcadocdt",
     "glap_t": "glapdocdt",
@@ -62,3 +63,23 @@ DOCUMENT_DATES: dict[str, str] = {
     "isaf_t": "isaf014",
     "xmdg_t": "xmdg028",
 }
+
+# Large tables without a report date, stored hash-clustered by the document key they are
+# joined on (lines sit in the same file range as nothing else, and scans split evenly).
+CLUSTER_KEYS: dict[str, str] = {
+    "apcb_t": "apcbdocno",
+    "glaq_t": "glaqdocno",
+    "inbb_t": "inbbdocno",
+    "isag_t": "isagdocno",
+    "xmdh_t": "xmdhdocno",
+    "xceb_t": "xcebdocno",
+    "xcec_t": "xcecdocno",
+    "xcea_t": "xceadocno",
+    "xcbl_t": "xcbl004",
+    "ooff_t": "ooff003",
+    "xrce_t": "xrce054",
+    "pmao_t": "pmao001",
+    "xmda_t": "xmdadocno",
+    "xmdk_t": "xmdk005",
+    "xmdl_t": "xmdldocno",
+}
