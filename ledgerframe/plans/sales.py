@@ -20,7 +20,7 @@ from ..functions.compat import (
     per_thousand,
 )
 from ..functions.predicates import DEFAULT_ENTITY, day_range
-from ..operators.joins import drop_null_keys
+from ..operators.joins import drop_null_keys, only_keys
 from ..operators.lookups import distinct_list, first_per_key, labels, max_per_key, ordered_list
 from ..params import DateRange
 
@@ -138,15 +138,37 @@ def settlement_lists(xrce: DataFrame) -> DataFrame:
     return xrce.groupBy("xrce054").agg(ordered_list(text, [F.col("xrcedocno")], "").alias("list_docno"))
 
 
+def shipment_chain(t: Mapping[str, DataFrame], entity: int, keys: DataFrame | None = None) -> DataFrame:
+    """The invoice-line lookup chain shipment -> notice lines -> order, collapsed per shipment key.
+
+    The source report joins every notice line of the shipped order (J12), so an invoice line
+    fans out once per notice line and its amounts are summed that many times (A11). Only
+    ``xmdl001``, the unit from the packing text and ``xmda033`` of the chain reach the report's
+    grouping, so the chain is reduced to one row per distinct ``(shipment key, xmdl001, unit,
+    xmda033)`` with ``w`` = the number of joined rows it stands for; ``SUM(x)`` over the fan-out
+    equals ``SUM(x * w)``. A shipment without notice lines keeps one row (``w`` = 1, unit 0).
+    ``keys`` (``isag002``, ``isag019``) restricts the chain to the shipments the report reaches.
+    """
+    shipments = labels(t["xmdl_t"], "xmdldocno", ["xmdl001", "xmdl003"], ent_col="xmdlent", entity=entity)
+    if keys is not None:
+        shipments = only_keys(shipments, ["xmdldocno", "xmdl003"], keys, ["isag002", "isag019"])
+    notices = labels(t["xmdh_t"], "xmdhdocno", ["xmdh001", "xmdh015"], ent_col="xmdhent", entity=entity)
+    orders = max_per_key(t["xmda_t"], ["xmdadocno"], ["xmda033"])
+    return (
+        shipments.join(notices, (F.col("xmdl001") == F.col("xmdhdocno")) & (F.col("xmdl003") == F.col("xmdh001")),
+                       "left")
+        .join(orders, F.col("xmdh001") == F.col("xmdadocno"), "left")
+        .groupBy("xmdldocno", "xmdl003", "xmdl001", per_thousand("xmdh015").alias("unit"), "xmda033")
+        .agg(F.count(F.lit(1)).cast("int").alias("w"))
+    )
+
+
 def _tax_invoice(t: Mapping[str, DataFrame], dates: DateRange, entity: int, with_currency: bool) -> DataFrame:
     head = t["isaf_t"].filter(day_range("isaf014", dates) & (F.col("isafstus") == CONFIRMED))
     lines = t["isag_t"].filter(F.col("isagent") == entity)
     partners = labels(t["pmaa_t"], "pmaa001", "pmaa006", ent_col="pmaaent", entity=entity)
     parts = labels(t["pmao_t"], "pmao002", ["pmao001", "pmao004", "pmao010"], ent_col="pmaoent", entity=entity)
-    shipments = labels(t["xmdl_t"], "xmdldocno", ["xmdl001", "xmdl003"], ent_col="xmdlent", entity=entity)
-    notices = labels(t["xmdh_t"], "xmdhdocno", ["xmdh001", "xmdh015"], ent_col="xmdhent", entity=entity)
     settle = settlement_lists(drop_null_keys(t["xrce_t"], ["xrce054"]))
-    orders = max_per_key(t["xmda_t"], ["xmdadocno"], ["xmda033"])
 
     j = (
         head.join(lines, F.col("isafdocno") == F.col("isagdocno"), "left")
@@ -154,9 +176,13 @@ def _tax_invoice(t: Mapping[str, DataFrame], dates: DateRange, entity: int, with
         .join(settle, F.col("xrce054") == F.col("isaf011"), "left")
         .join(parts, (F.col("pmao002") == F.col("isag009")) & (F.col("pmao001") == F.col("isaf002"))
               & (F.col("pmao004") == F.col("isag016")), "left")
-        .join(shipments, (F.col("isag002") == F.col("xmdldocno")) & (F.col("isag019") == F.col("xmdl003")), "left")
-        .join(notices, (F.col("xmdl001") == F.col("xmdhdocno")) & (F.col("xmdl003") == F.col("xmdh001")), "left")
-        .join(orders, F.col("xmdh001") == F.col("xmdadocno"), "left")
+    )
+    reached = head.join(lines, F.col("isafdocno") == F.col("isagdocno")).select("isag002", "isag019")
+    chain = shipment_chain(t, entity, reached)
+    j = (
+        j.join(chain, (F.col("isag002") == F.col("xmdldocno")) & (F.col("isag019") == F.col("xmdl003")), "left")
+        .withColumn("w", F.coalesce(F.col("w"), F.lit(1)))
+        .withColumn("unit", F.coalesce(F.col("unit"), F.lit(0).cast("decimal(18,3)")))
     )
     keyed = j.select(
         date_text_mon("isaf014").alias("formatted_date"), "isaf011",
@@ -165,15 +191,15 @@ def _tax_invoice(t: Mapping[str, DataFrame], dates: DateRange, entity: int, with
         "isaf022", _branch("pmaa006").alias("branch_no"), "isaf021", "isaf002", "isag101",
         "isaf101", "isaf100", F.col("isag004").alias("isag004_key"),
         by_prefix("isaf011", [("F", "list_docno"), ("CN", "isag014")], "xmdl001").alias("xmdl001"),
-        per_thousand("xmdh015").alias("unit"), "xmda033", "isag103", "isag104", "isag105", "isag004",
+        "unit", "xmda033", "isag103", "isag104", "isag105", "isag004", "w",
     )
     group = ["formatted_date", "isaf011", "isag017", "pmao010", "isaf022", "branch_no", "isaf021", "isaf002",
              "isag101"]
     group += ["isaf101", "isaf100"] if with_currency else []
     group += ["isag004_key", "xmdl001", "unit", "xmda033"]
-    sums = [F.sum(c).cast("decimal(38,2)").alias(c) for c in ("isag103", "isag104", "isag105")]
+    sums = [F.sum(F.col(c) * F.col("w")).cast("decimal(38,2)").alias(c) for c in ("isag103", "isag104", "isag105")]
     if with_currency:
-        sums.append(F.sum("isag004").cast("decimal(38,2)").alias("isag004"))
+        sums.append(F.sum(F.col("isag004") * F.col("w")).cast("decimal(38,2)").alias("isag004"))
     agg = keyed.groupBy(*group).agg(*sums)
     head_cols = ["formatted_date", "isaf011", "isag017", "pmao010", "isaf022", "branch_no", "isaf021", "isaf002",
                  "isag101", "isag103", "isag104", "isag105"]
