@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+Every report in scope is a parameterised batch query over stored tables; the source system has
+no stream, watermark or stateful step, so nothing here is built (see README, "Not built"). A
+report can still be run per micro-batch by a caller with ``foreachBatch``, because each report
+is an ordinary function from DataFrames to a DataFrame.
+"""
