@@ -6,6 +6,9 @@
   broadcasts the key set when its measured size is under the threshold and shuffles otherwise.
 * ``drop_null_keys``: NULL never equals anything, so rows with a NULL join key can leave a
   lookup before its window or aggregate; otherwise they form one hot partition.
+* ``left_join_lines``: header LEFT JOIN lines, written so that one document holding a large
+  share of all lines is still split across tasks (AQE splits a skewed partition only on the
+  left side of a left outer join, but on either side of an inner join).
 """
 
 from __future__ import annotations
@@ -17,8 +20,12 @@ from pyspark.sql import functions as F
 
 
 def only_keys(df: DataFrame, cols: Sequence[str], keys: DataFrame, key_cols: Sequence[str]) -> DataFrame:
-    """Rows of ``df`` whose ``cols`` appear as ``key_cols`` in ``keys`` (a left-semi join)."""
-    renamed = keys.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(key_cols)])
+    """Rows of ``df`` whose ``cols`` appear as ``key_cols`` in ``keys`` (a left-semi join).
+
+    The key set is deduplicated first (partially, map-side), so a hot key costs one row per
+    map task on the build side.
+    """
+    renamed = keys.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(key_cols)]).distinct()
     cond = [df[c] == renamed[f"__k{i}"] for i, c in enumerate(cols)]
     return df.join(renamed, cond, "left_semi")
 
@@ -29,3 +36,21 @@ def drop_null_keys(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         cond = cond & F.col(c).isNotNull()
     return df.filter(cond)
 
+
+
+def left_join_lines(head: DataFrame, lines: DataFrame, head_keys: Sequence[str],
+                    line_keys: Sequence[str]) -> DataFrame:
+    """``head LEFT JOIN lines ON head_keys = line_keys`` as inner join plus unmatched headers.
+
+    Same rows as the left outer join: every header with its matching lines, and each header
+    without any (including NULL keys) once with NULL line columns. The inner join can be split
+    by AQE on whichever side is skewed; unmatched headers come from a left-anti join against
+    the distinct line keys, so a hot document contributes one key row per map task there.
+    """
+    cond = [head[h] == lines[k] for h, k in zip(head_keys, line_keys)]
+    matched = head.join(lines, cond, "inner")
+    keys = lines.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(line_keys)]).distinct()
+    anti = [head[h] == keys[f"__k{i}"] for i, h in enumerate(head_keys)]
+    unmatched = head.join(keys, anti, "left_anti").select(
+        *head.columns, *[F.lit(None).cast(f.dataType).alias(f.name) for f in lines.schema.fields])
+    return matched.unionByName(unmatched)

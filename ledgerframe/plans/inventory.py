@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.compat import nvl
 from ..functions.predicates import DEFAULT_ENTITY, closed_month, not_in
-from ..operators.joins import only_keys
+from ..operators.joins import left_join_lines, only_keys
 from ..operators.lookups import labels
 from ..params import MonthParam
 
@@ -40,10 +40,12 @@ def report_misc_issue_lines(t: Mapping[str, DataFrame], period: MonthParam, enti
     reasons = labels(t["oocql_t"], "oocql002", ["oocqlent", "oocql004"], lang_col="oocql003", lang=lang,
                      where=F.col("oocql001") == REASON_CATEGORY)
 
-    joined = (
+    labelled = (
         head.join(staff, F.col("ooag001") == F.col("inba003"), "left")
         .join(depts, F.col("ooefl001") == F.col("inba004"), "left")
-        .join(lines, (F.col("inbaent") == F.col("inbbent")) & (F.col("inbadocno") == F.col("inbbdocno")), "left")
+    )
+    joined = (
+        left_join_lines(labelled, lines, ["inbaent", "inbadocno"], ["inbbent", "inbbdocno"])
         .join(items, (F.col("imaal001") == F.col("inbb001")) & (F.col("imaalent") == F.col("inbbent")), "left")
         .join(reasons, (F.col("oocqlent") == F.col("inbbent")) & (F.col("oocql002") == F.col("inbb016")), "left")
         .withColumn("inba008", nvl("inba008", BLANK))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.compat import date_text, decode
 from ..functions.predicates import DEFAULT_ENTITY, day_range, equals_optional
+from ..operators.joins import left_join_lines
 from ..operators.lookups import labels
 from ..params import DateRange
 
@@ -50,8 +51,8 @@ def report_ap_invoices(
     names = labels(t["pmaal_t"], "pmaal001", "pmaal004", lang_col="pmaal002", ent_col="pmaalent", entity=entity)
 
     joined = (
-        head.join(lines, head["apcadocno"] == lines["apcbdocno"], "left")
-        .join(names, head["apca004"] == names["pmaal001"], "left")
+        left_join_lines(head, lines, ["apcadocno"], ["apcbdocno"])
+        .join(names, F.col("apca004") == F.col("pmaal001"), "left")
         .withColumn("branch_no", decode("apca001", AP_KINDS, AP_KIND_OTHER))
     )
     sign = F.col("apcb022")

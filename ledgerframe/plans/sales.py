@@ -20,7 +20,7 @@ from ..functions.compat import (
     per_thousand,
 )
 from ..functions.predicates import DEFAULT_ENTITY, day_range
-from ..operators.joins import drop_null_keys, only_keys
+from ..operators.joins import drop_null_keys, left_join_lines, only_keys
 from ..operators.lookups import distinct_list, first_per_key, labels, max_per_key, ordered_list
 from ..params import DateRange
 
@@ -95,7 +95,7 @@ def report_order_fulfilment(t: Mapping[str, DataFrame], dates: DateRange, entity
                         ["oocql002"], ["oocql004"])
 
     j = (
-        head.join(lines, F.col("xmdgdocno") == F.col("xmdhdocno"), "left")
+        left_join_lines(head, lines, ["xmdgdocno"], ["xmdhdocno"])
         .join(first_ship, (F.col("xmdgdocno") == F.col("xmdk005")) & (F.col("xmdh001") == F.col("xmdk006")), "left")
         .drop("xmdk005", "xmdk006")
         .join(lists, (F.col("xmdgdocno") == F.col("xmdk005")) & (F.col("xmdh001") == F.col("xmdk006")), "left")
@@ -171,7 +171,7 @@ def _tax_invoice(t: Mapping[str, DataFrame], dates: DateRange, entity: int, with
     settle = settlement_lists(drop_null_keys(t["xrce_t"], ["xrce054"]))
 
     j = (
-        head.join(lines, F.col("isafdocno") == F.col("isagdocno"), "left")
+        left_join_lines(head, lines, ["isafdocno"], ["isagdocno"])
         .join(partners, F.col("isaf002") == F.col("pmaa001"), "left")
         .join(settle, F.col("xrce054") == F.col("isaf011"), "left")
         .join(parts, (F.col("pmao002") == F.col("isag009")) & (F.col("pmao001") == F.col("isaf002"))
