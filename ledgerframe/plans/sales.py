@@ -152,14 +152,21 @@ def shipment_chain(t: Mapping[str, DataFrame], entity: int, keys: DataFrame | No
     shipments = labels(t["xmdl_t"], "xmdldocno", ["xmdl001", "xmdl003"], ent_col="xmdlent", entity=entity)
     if keys is not None:
         shipments = only_keys(shipments, ["xmdldocno", "xmdl003"], keys, ["isag002", "isag019"])
-    notices = labels(t["xmdh_t"], "xmdhdocno", ["xmdh001", "xmdh015"], ent_col="xmdhent", entity=entity)
+    # Notice lines counted per (notice, order, unit) map-side first: a notice with very many
+    # lines shrinks to a few rows before it is joined, so it cannot pile up in one task.
+    notices = (
+        labels(t["xmdh_t"], "xmdhdocno", ["xmdh001", "xmdh015"], ent_col="xmdhent", entity=entity)
+        .groupBy("xmdhdocno", "xmdh001", per_thousand("xmdh015").alias("unit"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
     orders = max_per_key(t["xmda_t"], ["xmdadocno"], ["xmda033"])
     return (
         shipments.join(notices, (F.col("xmdl001") == F.col("xmdhdocno")) & (F.col("xmdl003") == F.col("xmdh001")),
                        "left")
         .join(orders, F.col("xmdh001") == F.col("xmdadocno"), "left")
-        .groupBy("xmdldocno", "xmdl003", "xmdl001", per_thousand("xmdh015").alias("unit"), "xmda033")
-        .agg(F.count(F.lit(1)).cast("int").alias("w"))
+        .groupBy("xmdldocno", "xmdl003", "xmdl001",
+                 F.coalesce(F.col("unit"), F.lit(0).cast("decimal(18,3)")).alias("unit"), "xmda033")
+        .agg(F.sum(F.coalesce(F.col("n"), F.lit(1))).cast("int").alias("w"))
     )
 
 
