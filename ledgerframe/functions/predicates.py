@@ -71,3 +71,8 @@ def equals_optional(df: DataFrame, c: ColumnOrName, value: object | None) -> Dat
 def for_entity(df: DataFrame, c: ColumnOrName, entity: int = DEFAULT_ENTITY) -> DataFrame:
     """Tenant filter on an integer entity column."""
     return df.filter(_col(c) == F.lit(int(entity)))
+
+
+def tenant_rows(df: DataFrame, c: ColumnOrName, entity: int, strict: bool) -> DataFrame:
+    """The tenant filter the source report omits (T1): applied only with ``strict_entity``."""
+    return for_entity(df, c, entity) if strict else df

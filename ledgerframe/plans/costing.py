@@ -15,7 +15,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.predicates import starts_with_any
+from ..functions.predicates import DEFAULT_ENTITY, starts_with_any, tenant_rows
 from ..operators.joins import drop_null_keys, only_keys
 from ..operators.lookups import first_per_key, max_per_key
 from ..params import MonthParam
@@ -38,11 +38,15 @@ def _one_label(df: DataFrame, key: str, lang_col: str, ent_col: str, label: str,
     return first_per_key(drop_null_keys(df, [key]), [key], order, [key, label])
 
 
-def report_cost_ledger(t: Mapping[str, DataFrame], period: MonthParam, lang: str = "en_US") -> DataFrame:
-    """Cost ledger rows of one period with one department name and one reason label each."""
+def report_cost_ledger(t: Mapping[str, DataFrame], period: MonthParam, lang: str = "en_US",
+                       entity: int = DEFAULT_ENTITY, strict_entity: bool = False) -> DataFrame:
+    """Cost ledger rows of one period with one department name and one reason label each
+    (``strict_entity``: labels of ``entity`` only)."""
     rows = t["xcbl_t"].filter((F.col("xcbl002") == period.year) & (F.col("xcbl003") == period.month))
-    depts = _one_label(t["ooefl_t"], "ooefl001", "ooefl002", "ooeflent", "ooefl003", ["ooefl004"], lang)
-    reasons = _one_label(t["oocql_t"], "oocql002", "oocql003", "oocqlent", "oocql004", ["oocql001"], lang)
+    ooefl = tenant_rows(t["ooefl_t"], "ooeflent", entity, strict_entity)
+    oocql = tenant_rows(t["oocql_t"], "oocqlent", entity, strict_entity)
+    depts = _one_label(ooefl, "ooefl001", "ooefl002", "ooeflent", "ooefl003", ["ooefl004"], lang)
+    reasons = _one_label(oocql, "oocql002", "oocql003", "oocqlent", "oocql004", ["oocql001"], lang)
     return (
         rows.join(depts, F.col("ooefl001") == F.col("xcbl012"), "left")
         .join(reasons, F.col("oocql002") == F.col("xcbl010"), "left")
@@ -51,8 +55,12 @@ def report_cost_ledger(t: Mapping[str, DataFrame], period: MonthParam, lang: str
 
 
 def _issue_cost(t: Mapping[str, DataFrame], period: MonthParam, table: str, prefixes: Sequence[str],
-                by_account: bool, lang: str) -> DataFrame:
+                by_account: bool, lang: str, entity: int = DEFAULT_ENTITY, strict: bool = False) -> DataFrame:
     p = table[:4]
+
+    def own(name: str, ent_col: str) -> DataFrame:
+        return tenant_rows(t[name], ent_col, entity, strict)
+
     col = {k: f"{p}{k}" for k in ("docno", "001", "002", "004", "101", "108", "110", "201", "202")}
     docs = t["xcea_t"].filter((F.col("xcea005") == period.month) & (F.col("xcea004") == period.year))
     lines = t[table].filter(starts_with_any(col["001"], prefixes))
@@ -64,11 +72,12 @@ def _issue_cost(t: Mapping[str, DataFrame], period: MonthParam, table: str, pref
     groups = lines.select(*keys).distinct()
     issue_docs = groups.select(col["001"])
 
-    items = max_per_key(t["imaal_t"], ["imaal001"], ["imaal003", "imaal004"])
-    reasons = max_per_key(t["oocql_t"].filter(F.col("oocql003") == lang), ["oocql002"], ["oocql004"]) \
+    items = max_per_key(own("imaal_t", "imaalent"), ["imaal001"], ["imaal003", "imaal004"])
+    reasons = max_per_key(own("oocql_t", "oocqlent").filter(F.col("oocql003") == lang), ["oocql002"], ["oocql004"]) \
         .withColumnRenamed("oocql004", f"{p}110_name")
-    heads = max_per_key(only_keys(t["inba_t"], ["inbadocno"], issue_docs, [col["001"]]), ["inbadocno"], ["inba008"])
-    issue_lines = max_per_key(only_keys(t["inbb_t"], ["inbbdocno"], issue_docs, [col["001"]]),
+    heads = max_per_key(only_keys(own("inba_t", "inbaent"), ["inbadocno"], issue_docs, [col["001"]]),
+                        ["inbadocno"], ["inba008"])
+    issue_lines = max_per_key(only_keys(own("inbb_t", "inbbent"), ["inbbdocno"], issue_docs, [col["001"]]),
                               ["inbbdocno"], ["inbb020"])
     notes = max_per_key(
         only_keys(t["ooff_t"].filter(F.col("ooff002") == NOTE_PROGRAM), ["ooff003"], issue_docs, [col["001"]]),
@@ -88,19 +97,22 @@ def _issue_cost(t: Mapping[str, DataFrame], period: MonthParam, table: str, pref
         names = [col["001"], col["002"], col["004"], "imaal003", "imaal004", col["101"], f"{p}101_name",
                  col["110"], f"{p}110_name", col["201"], col["202"], "inba008", "inbb020", "ooff013"]
     else:
-        depts = max_per_key(t["ooefl_t"], ["ooefl001"], ["ooefl004"])
+        depts = max_per_key(own("ooefl_t", "ooeflent"), ["ooefl001"], ["ooefl004"])
         out = out.join(depts, F.col(col["108"]) == F.col("ooefl001"), "left")
         names = [col["001"], col["002"], col["004"], "imaal003", "imaal004", col["110"], f"{p}110_name",
                  col["108"], "ooefl004", col["201"], col["202"], "inba008", "inbb020", "ooff013"]
     return out.select(*names)
 
 
-def report_issue_cost_by_dept(t: Mapping[str, DataFrame], period: MonthParam, lang: str = "en_US") -> DataFrame:
+def report_issue_cost_by_dept(t: Mapping[str, DataFrame], period: MonthParam, lang: str = "en_US",
+                              entity: int = DEFAULT_ENTITY, strict_entity: bool = False) -> DataFrame:
     """Issue cost per document line (``xceb_t``) of a cost period, three issue prefixes, with
-    item, reason and department labels and the issue header/line/note texts."""
-    return _issue_cost(t, period, "xceb_t", DEPT_ISSUE_PREFIXES, False, lang)
+    item, reason and department labels and the issue header/line/note texts
+    (``strict_entity``: lookups of ``entity`` only)."""
+    return _issue_cost(t, period, "xceb_t", DEPT_ISSUE_PREFIXES, False, lang, entity, strict_entity)
 
 
-def report_issue_cost_by_account(t: Mapping[str, DataFrame], period: MonthParam, lang: str = "en_US") -> DataFrame:
+def report_issue_cost_by_account(t: Mapping[str, DataFrame], period: MonthParam, lang: str = "en_US",
+                                 entity: int = DEFAULT_ENTITY, strict_entity: bool = False) -> DataFrame:
     """As R4 on ``xcec_t``, two issue prefixes, the account title instead of the department."""
-    return _issue_cost(t, period, "xcec_t", ACCOUNT_ISSUE_PREFIXES, True, lang)
+    return _issue_cost(t, period, "xcec_t", ACCOUNT_ISSUE_PREFIXES, True, lang, entity, strict_entity)

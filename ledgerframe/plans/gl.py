@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.compat import date_text, normalised_key
-from ..functions.predicates import in_month, not_contains_or_null, starts_with_any
+from ..functions.predicates import DEFAULT_ENTITY, in_month, not_contains_or_null, starts_with_any, tenant_rows
 from ..operators.joins import drop_null_keys, only_keys
 from ..operators.lookups import first_per_key
 from ..params import MonthParam
@@ -37,22 +37,26 @@ def account_titles(glacl: DataFrame, lang: str = "en_US") -> DataFrame:
 
 
 def report_gl_expense_vouchers(t: Mapping[str, DataFrame], period: MonthParam, lang: str = "en_US",
-                               ordered: bool = True) -> DataFrame:
+                               ordered: bool = True, entity: int = DEFAULT_ENTITY,
+                               strict_entity: bool = False) -> DataFrame:
     """Distinct posted voucher lines on 6*/7* accounts dated in ``period`` (any time of day).
 
     Source document: the lowest payable document pointing at the voucher, else the lowest
     cost document; lines whose source document carries the excluded marker drop, lines with
     no source document stay. The department label must exist in ``lang`` (inner join, J8).
+    ``strict_entity`` restricts department labels and payables to ``entity`` (the source does not).
     """
     vouchers = t["glap_t"].filter(in_month("glapdocdt", period) & (F.col("glapstus") == POSTED))
     lines = t["glaq_t"].filter(starts_with_any("glaq002", EXPENSE_PREFIXES))
     month_docs = vouchers.select("glapdocno")
 
-    payables = only_keys(drop_null_keys(t["apca_t"], ["apca038"]), ["apca038"], month_docs, ["glapdocno"])
+    apca = tenant_rows(t["apca_t"], "apcaent", entity, strict_entity)
+    payables = only_keys(drop_null_keys(apca, ["apca038"]), ["apca038"], month_docs, ["glapdocno"])
     first_payable = first_per_key(payables, ["apca038"], ["apcadocno"], ["apca038", "apcadocno"])
     costs = only_keys(drop_null_keys(t["xcea_t"], ["xcea101"]), ["xcea101"], month_docs, ["glapdocno"])
     first_cost = first_per_key(costs, ["xcea101"], ["xceadocno"], ["xcea101", "xceadocno"])
-    depts = t["ooefl_t"].filter(F.col("ooefl002") == lang).select("ooefl001", "ooefl004")
+    depts = tenant_rows(t["ooefl_t"], "ooeflent", entity, strict_entity) \
+        .filter(F.col("ooefl002") == lang).select("ooefl001", "ooefl004")
 
     joined = (
         lines.join(vouchers, lines["glaqdocno"] == vouchers["glapdocno"], "inner")

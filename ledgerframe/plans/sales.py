@@ -19,7 +19,7 @@ from ..functions.compat import (
     last_chars,
     per_thousand,
 )
-from ..functions.predicates import DEFAULT_ENTITY, day_range
+from ..functions.predicates import DEFAULT_ENTITY, day_range, tenant_rows
 from ..operators.joins import drop_null_keys, left_join_lines, only_keys
 from ..operators.lookups import distinct_list, first_per_key, labels, max_per_key, ordered_list
 from ..params import DateRange
@@ -48,14 +48,15 @@ FULFILMENT_COLUMNS = [
 ]
 
 
-def shipment_lookups(t: Mapping[str, DataFrame], entity: int = DEFAULT_ENTITY) -> tuple[DataFrame, DataFrame]:
+def shipment_lookups(t: Mapping[str, DataFrame], entity: int = DEFAULT_ENTITY,
+                     strict_entity: bool = False) -> tuple[DataFrame, DataFrame]:
     """Per (notice, order) key: the first shipment, and the sorted distinct invoice-line
     shipment numbers and invoice numbers. One aggregate builds both lists; ``collect_set``
     deduplicates in the partial (map-side) step, so only distinct values are shuffled."""
     ships = drop_null_keys(t["xmdk_t"].filter(F.col("xmdkent") == entity), ["xmdk005", "xmdk006"])
     first = first_per_key(ships, ["xmdk005", "xmdk006"], ["xmdkdocno", "xmdk001", "xmdkent"],
                           ["xmdk005", "xmdk006", "xmdkdocno", "xmdk001"])
-    inv_lines = t["isag_t"].select("isagdocno", "isag002", "isag019")
+    inv_lines = tenant_rows(t["isag_t"], "isagent", entity, strict_entity).select("isagdocno", "isag002", "isag019")
     invoices = t["isaf_t"].filter(F.col("isafent") == entity).select("isafdocno", "isaf011")
     billed = (
         ships.select("xmdk005", "xmdk006", "xmdkdocno")
@@ -71,7 +72,7 @@ def shipment_lookups(t: Mapping[str, DataFrame], entity: int = DEFAULT_ENTITY) -
 
 
 def report_order_fulfilment(t: Mapping[str, DataFrame], dates: DateRange, entity: int = DEFAULT_ENTITY,
-                            lang: str = "en_US", ordered: bool = True) -> DataFrame:
+                            lang: str = "en_US", ordered: bool = True, strict_entity: bool = False) -> DataFrame:
     """One row per shipment-notice line (or per line-less notice) of notices whose date
     ``xmdg028`` falls in ``dates``: order, item, unit from the packing text, first shipment,
     invoice lists, customer and code labels. Label lookups that are not collapsed fan out
@@ -84,7 +85,7 @@ def report_order_fulfilment(t: Mapping[str, DataFrame], dates: DateRange, entity
     items = labels(t["imaal_t"], "imaal001", "imaal003", lang_col="imaal002", lang=lang, ent_col="imaalent",
                    entity=entity)
     segments = max_per_key(t["oofb_t"].filter(F.col("oofbent") == entity), ["oofb019"], ["oofb011"])
-    first_ship, lists = shipment_lookups(t, entity)
+    first_ship, lists = shipment_lookups(t, entity, strict_entity)
     names = labels(t["pmaal_t"], "pmaal001", "pmaal004", lang_col="pmaal002", lang=lang, ent_col="pmaalent",
                    entity=entity)
     parts = labels(t["pmao_t"], "pmao002", ["pmao001", "pmao004", "pmao009", "pmao010"], ent_col="pmaoent",
@@ -170,8 +171,10 @@ def shipment_chain(t: Mapping[str, DataFrame], entity: int, keys: DataFrame | No
     )
 
 
-def _tax_invoice(t: Mapping[str, DataFrame], dates: DateRange, entity: int, with_currency: bool) -> DataFrame:
-    head = t["isaf_t"].filter(day_range("isaf014", dates) & (F.col("isafstus") == CONFIRMED))
+def _tax_invoice(t: Mapping[str, DataFrame], dates: DateRange, entity: int, with_currency: bool,
+                 strict_entity: bool = False) -> DataFrame:
+    head = tenant_rows(t["isaf_t"], "isafent", entity, strict_entity) \
+        .filter(day_range("isaf014", dates) & (F.col("isafstus") == CONFIRMED))
     lines = t["isag_t"].filter(F.col("isagent") == entity)
     partners = labels(t["pmaa_t"], "pmaa001", "pmaa006", ent_col="pmaaent", entity=entity)
     parts = labels(t["pmao_t"], "pmao002", ["pmao001", "pmao004", "pmao010"], ent_col="pmaoent", entity=entity)
@@ -219,17 +222,18 @@ def _tax_invoice(t: Mapping[str, DataFrame], dates: DateRange, entity: int, with
 
 
 def report_tax_invoice(t: Mapping[str, DataFrame], dates: DateRange, entity: int = DEFAULT_ENTITY,
-                       ordered: bool = True) -> DataFrame:
+                       ordered: bool = True, strict_entity: bool = False) -> DataFrame:
     """Confirmed tax invoices dated in ``dates``, grouped per line shape: net, tax and gross
     sums, exchange rate and currency, and ``SUM`` of the quantity although the quantity is
     also a grouping key (value times matching rows, A7). Lookup fan-out multiplies sums as in
-    the source report (A11, T3)."""
-    out = _tax_invoice(t, dates, entity, True)
+    the source report (A11, T3). The header has no tenant filter in the source (T1);
+    ``strict_entity`` adds it."""
+    out = _tax_invoice(t, dates, entity, True, strict_entity)
     return out.orderBy(F.col("isaf011").asc_nulls_last()) if ordered else out
 
 
 def report_tax_invoice_by_price(t: Mapping[str, DataFrame], dates: DateRange, entity: int = DEFAULT_ENTITY,
-                                ordered: bool = True) -> DataFrame:
+                                ordered: bool = True, strict_entity: bool = False) -> DataFrame:
     """As R7 with the plain quantity and without the currency columns."""
-    out = _tax_invoice(t, dates, entity, False)
+    out = _tax_invoice(t, dates, entity, False, strict_entity)
     return out.orderBy(F.col("isaf011").asc_nulls_last()) if ordered else out

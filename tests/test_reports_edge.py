@@ -155,3 +155,25 @@ def test_tax_invoice_sum_of_key_and_lists(erp):
     assert r7["IV00000001"].branch_no == "HEAD OFFICE" and r7["IV00000001"].unit == D("0.000")
     assert r7["IV00000001"].formatted_date == "01 Mar 1995"
     assert "isaf100" in report_tax_invoice(t, r).columns and "isaf100" not in report_tax_invoice_by_price(t, r).columns
+
+
+def test_strict_entity_restricts_what_the_source_leaves_open(erp):
+    # T1: by default a second tenant's rows are used where the source has no tenant filter.
+    t = erp(
+        xcbl_t=[("C1", "L1", "TF", 1995, 3, "AP-1", "1-URGENT", "A", "1", D("5.00"))],
+        ooefl_t=[(100, "1", "en_US", "AAA other tenant", "x"), (666, "1", "en_US", "EN", "y")],
+        oocql_t=[(666, "216", "A", "en_US", "A/216")],
+    )
+    assert report_cost_ledger(t, MARCH).first().ooefl003 == "AAA other tenant"
+    assert report_cost_ledger(t, MARCH, strict_entity=True).first().ooefl003 == "EN"
+
+    tax = _tax_tables(erp)
+    head = [(100, "IS-9", "C1", "IV00000009", T(1995, 3, 3), "TAX1", "Buyer", "USD", D("35.5000"), "Y")]
+    line = (666, "IS-9", "SH-9", D("1.00"), "P1", "w", "RT-9", "F", "g", "SO-9", D("0.10"), D("1.00"),
+            D("0.07"), D("1.07"))
+    t2 = erp(isaf_t=[tuple(r) for r in tax["isaf_t"].collect()] + head,
+             isag_t=[tuple(r) for r in tax["isag_t"].collect()] + [line],
+             xrce_t=[tuple(r) for r in tax["xrce_t"].collect()])
+    r = DateRange(dt.date(1995, 3, 1), dt.date(1995, 3, 31))
+    assert "IV00000009" in {x.isaf011 for x in report_tax_invoice(t2, r).collect()}
+    assert "IV00000009" not in {x.isaf011 for x in report_tax_invoice(t2, r, strict_entity=True).collect()}
