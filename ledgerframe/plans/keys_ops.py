@@ -35,24 +35,23 @@ from ..functions.predicates import (
     starts_with_any,
 )
 from ..operators.joins import drop_null_keys
-from ..operators.lookups import distinct_list, first_per_key, list_per_key, max_per_key
-from ..params import DateRange, MonthParam
+from ..operators.lookups import first_per_key, list_per_key, max_per_key
+from ..params import DateRange
 from ..sinks import relabel, rows_as_arrays, rows_as_objects
 from ..sources.demo import erp_tables
 from ..sources.loaders import read_driver_tables
 from .checks import FANOUT_LOOKUPS, fanout_report, missing_labels
 from .costing import report_cost_ledger
 from .gl import GL_EXPORT_LABELS, account_titles, report_gl_expense_vouchers
-from .keys_reports import _GL_SQL, _LEDGER_SQL, _AP_SQL, _UNIT_SQL, REPORT_DATES, REPORT_MONTH
+from .keys_reports import _AP_SQL, _GL_SQL, _LEDGER_SQL, _UNIT_SQL, REPORT_DATES, REPORT_MONTH
 from .oracle import with_fixtures
 from .payables import AP_KIND_OTHER, AP_KINDS, report_ap_invoices
 from .registry import register
-from .sales import NOTICE_STATUS, _branch, settlement_lists, shipment_lookups
+from .sales import NOTICE_STATUS, branch_text, settlement_lists, shipment_lookups
 
 # Fixed operator parameters.
 MONTH = REPORT_MONTH
 DAYS = DateRange(dt.date(1995, 3, 1), dt.date(1995, 3, 31))
-PRIORITY_CODES = {"1-URGENT": "U", "2-HIGH": "H"}
 
 
 def _drv(spark: SparkSession, sf_dir: str):
@@ -126,10 +125,10 @@ SELECT CAST(json_object('APCADOCNO', apcadocno, 'APCADOCDT', apcadocdt, 'BRANCH_
                         'APCB005', apcb005, 'APCB007', {_trim_num('apcb007')}, 'APCB101', {_trim_num('apcb101')},
                         'APCB103', {_trim_num('apcb103')}, 'APCB104', {_trim_num('apcb104')},
                         'APCB105', {_trim_num('apcb105')}, 'APCA053', apca053, 'APCB028', apcb028) AS VARCHAR) AS row
-FROM ({_AP_SQL.format(range=f"a.apcadocdt >= {_ts(DAYS.start)} AND a.apcadocdt < {_ts(DAYS.end_exclusive)}",
+FROM ({_AP_SQL.format(range=f"a.apcadocdt >= {_ts(REPORT_DATES.start)} AND a.apcadocdt < {_ts(REPORT_DATES.end_exclusive)}",
                       supplier="")})"""))
 def rows_as_object(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows_as_objects(report_ap_invoices(_erp(spark, sf_dir), DAYS, ordered=False))
+    return rows_as_objects(report_ap_invoices(_erp(spark, sf_dir), REPORT_DATES, ordered=False))
 
 
 def _labelled_gl_sql() -> str:
@@ -173,7 +172,7 @@ SELECT pmaa001, CASE WHEN pmaa006 IS NULL OR pmaa006 = 'NULL' THEN 'HEAD OFFICE'
        WHEN pmaa006 = 'R0007' THEN 'BRANCH NO.00007' ELSE 'NOT Match' END AS branch_no
 FROM pmaa_t"""))
 def case_null_token(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _erp(spark, sf_dir)["pmaa_t"].select("pmaa001", _branch("pmaa006").alias("branch_no"))
+    return _erp(spark, sf_dir)["pmaa_t"].select("pmaa001", branch_text("pmaa006").alias("branch_no"))
 
 
 @register("case_prefix_source", with_fixtures("""

@@ -128,7 +128,7 @@ def report_order_fulfilment(t: Mapping[str, DataFrame], dates: DateRange, entity
     return out.drop("__docdt")
 
 
-def _branch(c: str) -> F.Column:
+def branch_text(c: str) -> F.Column:
     return F.when(is_null_or_token(c), F.lit(HEAD_OFFICE)).otherwise(decode(c, BRANCHES, BRANCH_OTHER))
 
 
@@ -198,7 +198,7 @@ def _tax_invoice(t: Mapping[str, DataFrame], dates: DateRange, entity: int, with
         date_text_mon("isaf014").alias("formatted_date"), "isaf011",
         by_prefix("isaf011", [("F", "isag010")], "isag017").alias("isag017"),
         by_prefix("isaf011", [("F", F.lit(WASTE))], "pmao010").alias("pmao010"),
-        "isaf022", _branch("pmaa006").alias("branch_no"), "isaf021", "isaf002", "isag101",
+        "isaf022", branch_text("pmaa006").alias("branch_no"), "isaf021", "isaf002", "isag101",
         "isaf101", "isaf100", F.col("isag004").alias("isag004_key"),
         by_prefix("isaf011", [("F", "list_docno"), ("CN", "isag014")], "xmdl001").alias("xmdl001"),
         "unit", "xmda033", "isag103", "isag104", "isag105", "isag004", "w",

@@ -1,7 +1,6 @@
 """Plan shape: filters reach the Parquet scan, no Cartesian product, no Python UDF."""
 
 import datetime as dt
-import os
 
 import pytest
 
