@@ -43,6 +43,30 @@ def closed_month(c: ColumnOrName, period: MonthParam) -> Column:
     return _col(c).between(ts_literal(period.first_day), ts_literal(period.last_day))
 
 
+def _yyyymm(day: dt.date) -> int:
+    return day.year * 100 + day.month
+
+
+def on_days(df: DataFrame, c: str, dates: DateRange, month_column: str = "doc_month") -> DataFrame:
+    """``df`` filtered to ``dates`` on column ``c``; when the table is stored partitioned by
+    month (``doc_month`` = yyyymm), the same range is also put on the partition column so only
+    the matching folders are listed and read."""
+    out = df.filter(day_range(c, dates))
+    if month_column in df.columns:
+        out = out.filter(F.col(month_column).between(_yyyymm(dates.start), _yyyymm(dates.end)))
+    return out
+
+
+def on_month(df: DataFrame, c: str, period: MonthParam, closed: bool = False,
+             month_column: str = "doc_month") -> DataFrame:
+    """``df`` filtered to one month (half-open, or closed at midnight of the last day, T5), with
+    the partition column pruned too when present."""
+    out = df.filter(closed_month(c, period) if closed else in_month(c, period))
+    if month_column in df.columns:
+        out = out.filter(F.col(month_column) == _yyyymm(period.first_day))
+    return out
+
+
 def starts_with_any(c: ColumnOrName, prefixes: Sequence[str]) -> Column:
     """``c LIKE 'p1%' OR c LIKE 'p2%' ...``."""
     s = _col(c)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.compat import date_text, normalised_key
-from ..functions.predicates import DEFAULT_ENTITY, in_month, not_contains_or_null, starts_with_any, tenant_rows
+from ..functions.predicates import DEFAULT_ENTITY, not_contains_or_null, on_month, starts_with_any, tenant_rows
 from ..operators.joins import drop_null_keys, only_keys
 from ..operators.lookups import first_per_key
 from ..params import MonthParam
@@ -46,7 +46,7 @@ def report_gl_expense_vouchers(t: Mapping[str, DataFrame], period: MonthParam, l
     no source document stay. The department label must exist in ``lang`` (inner join, J8).
     ``strict_entity`` restricts department labels and payables to ``entity`` (the source does not).
     """
-    vouchers = t["glap_t"].filter(in_month("glapdocdt", period) & (F.col("glapstus") == POSTED))
+    vouchers = on_month(t["glap_t"], "glapdocdt", period).filter(F.col("glapstus") == POSTED)
     lines = t["glaq_t"].filter(starts_with_any("glaq002", EXPENSE_PREFIXES))
     month_docs = vouchers.select("glapdocno")
 
@@ -69,4 +69,8 @@ def report_gl_expense_vouchers(t: Mapping[str, DataFrame], period: MonthParam, l
         .withColumn("glapdocdt", date_text("glapdocdt"))
     )
     out = joined.select(*GL_COLUMNS).distinct()
-    return out.orderBy(F.col("glaq002").asc_nulls_last(), F.col("glapdocdt").asc_nulls_last()) if ordered else out
+    if not ordered:
+        return out
+    # ORDER BY account, date text; the remaining columns break ties so the order is total.
+    ties = ["glaqdocno", "glaq001", "glaq003", "glaq004", "glaq018", "docno"]
+    return out.orderBy(*[F.col(c).asc_nulls_last() for c in ["glaq002", "glapdocdt", *ties]])

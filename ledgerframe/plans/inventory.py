@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.compat import nvl
-from ..functions.predicates import DEFAULT_ENTITY, closed_month, not_in
+from ..functions.predicates import DEFAULT_ENTITY, not_in, on_month
 from ..operators.joins import left_join_lines, only_keys
 from ..operators.lookups import labels
 from ..params import MonthParam
@@ -29,9 +29,8 @@ def report_misc_issue_lines(t: Mapping[str, DataFrame], period: MonthParam, enti
     """Distinct issue lines of kind ``1`` whose header date lies between the first and the last
     day of the month *at midnight* (later times on the last day drop, T5), status not ``X``
     (a NULL status drops too), with staff, department, item and reason labels."""
-    head = t["inba_t"].filter(
-        (F.col("inbaent") == entity) & closed_month("inba002", period) & not_in("inbastus", [VOID_STATUS])
-        & (F.col("inba001") == ISSUE_KIND)
+    head = on_month(t["inba_t"], "inba002", period, closed=True).filter(
+        (F.col("inbaent") == entity) & not_in("inbastus", [VOID_STATUS]) & (F.col("inba001") == ISSUE_KIND)
     )
     staff = labels(t["ooag_t"], "ooag001", ["ooag011", "ooag003"], ent_col="ooagent", entity=entity)
     depts = labels(t["ooefl_t"], "ooefl001", "ooefl003", lang_col="ooefl002", ent_col="ooeflent", entity=entity)
@@ -52,4 +51,8 @@ def report_misc_issue_lines(t: Mapping[str, DataFrame], period: MonthParam, enti
         .withColumn("inbb020", nvl("inbb020", BLANK))
     )
     out = joined.select(*MISC_COLUMNS).distinct()
-    return out.orderBy(F.col("inba004").asc_nulls_last(), F.col("inba003").asc_nulls_last()) if ordered else out
+    if not ordered:
+        return out
+    # ORDER BY department, staff; document and line columns break ties so the order is total.
+    ties = ["inbadocno", "inbb001", "inbb016", "inbb020", "inbb012", "inba002"]
+    return out.orderBy(*[F.col(c).asc_nulls_last() for c in ["inba004", "inba003", *ties]])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.compat import date_text, decode
-from ..functions.predicates import DEFAULT_ENTITY, day_range, equals_optional
+from ..functions.predicates import DEFAULT_ENTITY, equals_optional, on_days
 from ..operators.joins import left_join_lines
 from ..operators.lookups import labels
 from ..params import DateRange
@@ -43,9 +43,7 @@ def report_ap_invoices(
     text and the signed quantity sum are shown (A6), so two lines that differ only in quantity
     stay two rows. The sort is on the date *text* (day first), then document number (O3).
     """
-    head = t["apca_t"].filter(
-        (F.col("apcaent") == entity) & (F.col("apcastus") == "Y") & day_range("apcadocdt", dates)
-    )
+    head = on_days(t["apca_t"], "apcadocdt", dates).filter((F.col("apcaent") == entity) & (F.col("apcastus") == "Y"))
     head = equals_optional(head, "apca004", supplier)
     lines = t["apcb_t"].filter(F.col("apcbent") == entity)
     names = labels(t["pmaal_t"], "pmaal001", "pmaal004", lang_col="pmaal002", ent_col="pmaalent", entity=entity)
@@ -64,4 +62,8 @@ def report_ap_invoices(
           for c in ("apcb007", "apcb101", "apcb103", "apcb104", "apcb105")]
     )
     out = grouped.withColumn("apcadocdt", date_text("apcadocdt_raw")).select(*AP_COLUMNS)
-    return out.orderBy(F.col("apcadocdt").asc_nulls_last(), F.col("apcadocno").asc_nulls_last()) if ordered else out
+    if not ordered:
+        return out
+    # ORDER BY date text (day first), document; line columns break ties so the order is total.
+    ties = ["apcb004", "apcb002", "apcb005", "apcb007", "apcb028", "pmaal004"]
+    return out.orderBy(*[F.col(c).asc_nulls_last() for c in ["apcadocdt", "apcadocno", *ties]])

@@ -19,7 +19,7 @@ from ..functions.compat import (
     last_chars,
     per_thousand,
 )
-from ..functions.predicates import DEFAULT_ENTITY, day_range, tenant_rows
+from ..functions.predicates import DEFAULT_ENTITY, on_days, tenant_rows
 from ..operators.joins import drop_null_keys, left_join_lines, only_keys
 from ..operators.lookups import distinct_list, first_per_key, labels, max_per_key, ordered_list
 from ..params import DateRange
@@ -77,7 +77,7 @@ def report_order_fulfilment(t: Mapping[str, DataFrame], dates: DateRange, entity
     ``xmdg028`` falls in ``dates``: order, item, unit from the packing text, first shipment,
     invoice lists, customer and code labels. Label lookups that are not collapsed fan out
     as in the source report (T3). Sorted by the raw document date (O4)."""
-    head = t["xmdg_t"].filter((F.col("xmdgent") == entity) & day_range("xmdg028", dates))
+    head = on_days(t["xmdg_t"], "xmdg028", dates).filter(F.col("xmdgent") == entity)
     lines = t["xmdh_t"].filter(F.col("xmdhent") == entity).drop("xmdhent")
     orders = max_per_key(t["xmda_t"], ["xmdadocno"], ["xmda033"])
     contacts = labels(t["oofa_t"], "oofa003", "oofa011", ent_col="oofaent", entity=entity)
@@ -173,8 +173,8 @@ def shipment_chain(t: Mapping[str, DataFrame], entity: int, keys: DataFrame | No
 
 def _tax_invoice(t: Mapping[str, DataFrame], dates: DateRange, entity: int, with_currency: bool,
                  strict_entity: bool = False) -> DataFrame:
-    head = tenant_rows(t["isaf_t"], "isafent", entity, strict_entity) \
-        .filter(day_range("isaf014", dates) & (F.col("isafstus") == CONFIRMED))
+    head = tenant_rows(t["isaf_t"], "isafent", entity, strict_entity)
+    head = on_days(head, "isaf014", dates).filter(F.col("isafstus") == CONFIRMED)
     lines = t["isag_t"].filter(F.col("isagent") == entity)
     partners = labels(t["pmaa_t"], "pmaa001", "pmaa006", ent_col="pmaaent", entity=entity)
     parts = labels(t["pmao_t"], "pmao002", ["pmao001", "pmao004", "pmao010"], ent_col="pmaoent", entity=entity)
@@ -221,6 +221,12 @@ def _tax_invoice(t: Mapping[str, DataFrame], dates: DateRange, entity: int, with
     return agg.select(*cols)
 
 
+def _invoice_order(df: DataFrame) -> DataFrame:
+    """ORDER BY invoice number; the other grouping columns break ties so the order is total."""
+    ties = ["isag017", "pmao010", "isag101", "isag004", "xmdl001", "unit", "xmda033", "isag103"]
+    return df.orderBy(*[F.col(c).asc_nulls_last() for c in ["isaf011", *ties]])
+
+
 def report_tax_invoice(t: Mapping[str, DataFrame], dates: DateRange, entity: int = DEFAULT_ENTITY,
                        ordered: bool = True, strict_entity: bool = False) -> DataFrame:
     """Confirmed tax invoices dated in ``dates``, grouped per line shape: net, tax and gross
@@ -229,11 +235,11 @@ def report_tax_invoice(t: Mapping[str, DataFrame], dates: DateRange, entity: int
     the source report (A11, T3). The header has no tenant filter in the source (T1);
     ``strict_entity`` adds it."""
     out = _tax_invoice(t, dates, entity, True, strict_entity)
-    return out.orderBy(F.col("isaf011").asc_nulls_last()) if ordered else out
+    return _invoice_order(out) if ordered else out
 
 
 def report_tax_invoice_by_price(t: Mapping[str, DataFrame], dates: DateRange, entity: int = DEFAULT_ENTITY,
                                 ordered: bool = True, strict_entity: bool = False) -> DataFrame:
     """As R7 with the plain quantity and without the currency columns."""
     out = _tax_invoice(t, dates, entity, False, strict_entity)
-    return out.orderBy(F.col("isaf011").asc_nulls_last()) if ordered else out
+    return _invoice_order(out) if ordered else out

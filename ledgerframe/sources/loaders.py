@@ -104,17 +104,19 @@ def read_driver_tables(spark: SparkSession, sf_dir: str) -> Tables:
 
 
 def write_erp_lake(tables: Mapping[str, DataFrame], root: str, names: list[str] | None = None,
-                   mode: str = "overwrite", normalise_blanks: bool = True, files: int | None = None) -> None:
+                   mode: str = "overwrite", normalise_blanks: bool = True, files: int | None = None,
+                   partitioned: bool = False) -> None:
     """Store ERP tables as Parquet folders with empty text stored as NULL.
 
     With ``files`` set, each large table is written as that many files: document headers
     range-clustered by their report date, lines and other large tables hash-clustered by their
     document key (size ``files`` so a file holds about 128 MB). Small label tables keep one
-    file. Without ``files`` the incoming partitioning is kept and rows are only sorted by the
+    file. ``partitioned`` adds folder partitions: headers by ``doc_month`` (yyyymm of the report
+    date), period tables by their year and month columns. Without ``files`` the incoming partitioning is kept and rows are only sorted by the
     document date within each file. Each table is one distributed write; a lost executor only
     re-runs its own tasks.
     """
-    from .schemas import CLUSTER_KEYS, DOCUMENT_DATES
+    from .schemas import CLUSTER_KEYS, DOC_MONTH, DOCUMENT_DATES, PERIOD_PARTITIONS
 
     for name in names or list(tables):
         df = blanks_to_null(tables[name]) if normalise_blanks else tables[name]
@@ -124,6 +126,15 @@ def write_erp_lake(tables: Mapping[str, DataFrame], root: str, names: list[str]
             df = df.repartitionByRange(files, date_col)
         elif files is not None and key_col is not None:
             df = df.repartition(files, key_col)
+        parts: list[str] = []
+        if partitioned and date_col is not None:
+            df = df.withColumn(DOC_MONTH, (F.year(date_col) * 100 + F.month(date_col)).cast("int"))
+            parts = [DOC_MONTH]
+        elif partitioned and name in PERIOD_PARTITIONS:
+            parts = PERIOD_PARTITIONS[name]
         if date_col is not None:
-            df = df.sortWithinPartitions(date_col)
-        df.write.mode(mode).parquet(f"{root}/{name}")
+            df = df.sortWithinPartitions(*parts, date_col)
+        writer = df.write.mode(mode)
+        if parts:
+            writer = writer.partitionBy(*parts)
+        writer.parquet(f"{root}/{name}")

@@ -64,6 +64,15 @@ DOCUMENT_DATES: dict[str, str] = {
     "xmdg_t": "xmdg028",
 }
 
+# Partition layout of a partitioned lake: headers by ``doc_month`` (yyyymm of their report
+# date, a derived column), period tables by their own year and month columns. Reports filter on
+# these, so a month report lists and reads only that month's folders.
+DOC_MONTH = "doc_month"
+PERIOD_PARTITIONS: dict[str, list[str]] = {
+    "xcbl_t": ["xcbl002", "xcbl003"],
+    "xcea_t": ["xcea004", "xcea005"],
+}
+
 # Large tables without a report date, stored hash-clustered by the document key they are
 # joined on (lines sit in the same file range as nothing else, and scans split evenly).
 CLUSTER_KEYS: dict[str, str] = {
