@@ -20,10 +20,14 @@ DEFAULT_ENTITY = 666
 
 
 def ts_literal(day: dt.date | dt.datetime) -> Column:
-    """A zone-free timestamp literal (folds to a constant, so it is pushed down)."""
+    """A zone-free timestamp literal (folds to a constant, so it is pushed down).
+
+    Built from text: a Python datetime literal would pass through the session time zone and
+    shift when the session zone differs from the driver machine's.
+    """
     if not isinstance(day, dt.datetime):
         day = dt.datetime(day.year, day.month, day.day)
-    return F.lit(day).cast("timestamp_ntz")
+    return F.lit(day.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 def day_range(c: ColumnOrName, dates: DateRange) -> Column:

@@ -99,3 +99,19 @@ def test_starts_with_any_and_optional(spark):
     assert df.filter(starts_with_any("s", ["6", "7"])).count() == 2
     assert equals_optional(df, "s", None).count() == 3
     assert equals_optional(df, "s", "1100").count() == 1
+
+
+def test_date_filters_do_not_depend_on_session_zone(spark):
+    rows = [(dt.datetime(1995, 3, 1, 0, 0),), (dt.datetime(1995, 3, 31, 23, 0),), (dt.datetime(1995, 4, 1),),
+            (dt.datetime(1995, 2, 28, 23, 59),)]
+    df = spark.createDataFrame(rows, "d timestamp_ntz")
+    r = DateRange(dt.date(1995, 3, 1), dt.date(1995, 3, 31))
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("America/Los_Angeles", "Asia/Bangkok", "UTC"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            got = sorted(x.d for x in df.filter(day_range("d", r)).collect())
+            assert got == [dt.datetime(1995, 3, 1, 0, 0), dt.datetime(1995, 3, 31, 23, 0)], zone
+            assert [x[0] for x in df.select(date_text("d")).collect()][0] == "01/03/1995"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
