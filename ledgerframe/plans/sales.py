@@ -37,6 +37,9 @@ BRANCHES = {
 }
 BRANCH_OTHER = "NOT Match"
 CONFIRMED = "Y"
+# Lookups are cut down to the keys a date range can reach when the range covers at most this
+# many days; a longer range reaches most keys anyway and the extra semi-join would not pay.
+RESTRICT_MAX_DAYS = 366
 WASTE = "WASTE"
 LIST_SEP = ", "
 
@@ -49,11 +52,15 @@ FULFILMENT_COLUMNS = [
 
 
 def shipment_lookups(t: Mapping[str, DataFrame], entity: int = DEFAULT_ENTITY,
-                     strict_entity: bool = False) -> tuple[DataFrame, DataFrame]:
+                     strict_entity: bool = False, keys: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Per (notice, order) key: the first shipment, and the sorted distinct invoice-line
     shipment numbers and invoice numbers. One aggregate builds both lists; ``collect_set``
-    deduplicates in the partial (map-side) step, so only distinct values are shuffled."""
+    deduplicates in the partial (map-side) step, so only distinct values are shuffled.
+    ``keys`` (``xmdgdocno``, ``xmdh001``) restricts the shipments to those a report can reach
+    before anything is joined or aggregated."""
     ships = drop_null_keys(t["xmdk_t"].filter(F.col("xmdkent") == entity), ["xmdk005", "xmdk006"])
+    if keys is not None:
+        ships = only_keys(ships, ["xmdk005", "xmdk006"], keys, ["xmdgdocno", "xmdh001"])
     first = first_per_key(ships, ["xmdk005", "xmdk006"], ["xmdkdocno", "xmdk001", "xmdkent"],
                           ["xmdk005", "xmdk006", "xmdkdocno", "xmdk001"])
     inv_lines = tenant_rows(t["isag_t"], "isagent", entity, strict_entity).select("isagdocno", "isag002", "isag019")
@@ -79,13 +86,19 @@ def report_order_fulfilment(t: Mapping[str, DataFrame], dates: DateRange, entity
     as in the source report (T3). Sorted by the raw document date (O4)."""
     head = on_days(t["xmdg_t"], "xmdg028", dates).filter(F.col("xmdgent") == entity)
     lines = t["xmdh_t"].filter(F.col("xmdhent") == entity).drop("xmdhent")
-    orders = max_per_key(t["xmda_t"], ["xmdadocno"], ["xmda033"])
+    # (notice, order) pairs the notices in range can reach: the shipment and order lookups are
+    # cut down to them before they are joined or aggregated (a month reads a month's worth).
+    narrow = (dates.end - dates.start).days < RESTRICT_MAX_DAYS
+    reach = head.join(lines, F.col("xmdgdocno") == F.col("xmdhdocno")).select("xmdgdocno", "xmdh001") \
+        if narrow else None
+    xmda = only_keys(t["xmda_t"], ["xmdadocno"], reach, ["xmdh001"]) if narrow else t["xmda_t"]
+    orders = max_per_key(xmda, ["xmdadocno"], ["xmda033"])
     contacts = labels(t["oofa_t"], "oofa003", "oofa011", ent_col="oofaent", entity=entity)
     depts = labels(t["ooefl_t"], "ooefl001", "ooefl003", lang_col="ooefl002", ent_col="ooeflent", entity=entity)
     items = labels(t["imaal_t"], "imaal001", "imaal003", lang_col="imaal002", lang=lang, ent_col="imaalent",
                    entity=entity)
     segments = max_per_key(t["oofb_t"].filter(F.col("oofbent") == entity), ["oofb019"], ["oofb011"])
-    first_ship, lists = shipment_lookups(t, entity, strict_entity)
+    first_ship, lists = shipment_lookups(t, entity, strict_entity, reach)
     names = labels(t["pmaal_t"], "pmaal001", "pmaal004", lang_col="pmaal002", lang=lang, ent_col="pmaalent",
                    entity=entity)
     parts = labels(t["pmao_t"], "pmao002", ["pmao001", "pmao004", "pmao009", "pmao010"], ent_col="pmaoent",
@@ -178,7 +191,9 @@ def _tax_invoice(t: Mapping[str, DataFrame], dates: DateRange, entity: int, with
     lines = t["isag_t"].filter(F.col("isagent") == entity)
     partners = labels(t["pmaa_t"], "pmaa001", "pmaa006", ent_col="pmaaent", entity=entity)
     parts = labels(t["pmao_t"], "pmao002", ["pmao001", "pmao004", "pmao010"], ent_col="pmaoent", entity=entity)
-    settle = settlement_lists(drop_null_keys(t["xrce_t"], ["xrce054"]))
+    narrow = (dates.end - dates.start).days < RESTRICT_MAX_DAYS
+    xrce = drop_null_keys(t["xrce_t"], ["xrce054"])
+    settle = settlement_lists(only_keys(xrce, ["xrce054"], head, ["isaf011"]) if narrow else xrce)
 
     j = (
         left_join_lines(head, lines, ["isafdocno"], ["isagdocno"])
@@ -187,7 +202,8 @@ def _tax_invoice(t: Mapping[str, DataFrame], dates: DateRange, entity: int, with
         .join(parts, (F.col("pmao002") == F.col("isag009")) & (F.col("pmao001") == F.col("isaf002"))
               & (F.col("pmao004") == F.col("isag016")), "left")
     )
-    reached = head.join(lines, F.col("isafdocno") == F.col("isagdocno")).select("isag002", "isag019")
+    reached = head.join(lines, F.col("isafdocno") == F.col("isagdocno")).select("isag002", "isag019") \
+        if narrow else None
     chain = shipment_chain(t, entity, reached)
     j = (
         j.join(chain, (F.col("isag002") == F.col("xmdldocno")) & (F.col("isag019") == F.col("xmdl003")), "left")
