@@ -49,6 +49,31 @@ def forget(df: DataFrame) -> None:
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+#: Bitmaps have this many bits: 2,048 longs, a fixed size that a plan can carry as a literal.
+BITMAP_BITS = 1 << 17
+
+
+def bucket(hashed: Column) -> Column:
+    return F.pmod(hashed, F.lit(BITMAP_BITS)).cast("int")
+
+
+def bitmap_of(hashes: DataFrame) -> Column:
+    """Array literal with the bit of each hash (first column of ``hashes``) set.
+
+    BITMAP_BITS rows at most reach the driver, whatever the input's size. A set bit may belong to
+    another hash as well, so callers use it to look closer or to fix an order, never to decide.
+    """
+    words_ = [0] * (BITMAP_BITS // 64)
+    for (b,) in hashes.select(bucket(F.col(hashes.columns[0])).alias("b")).distinct().collect():
+        words_[b // 64] |= 1 << b % 64
+    return F.split(F.lit(",".join(str(x - (1 << 64) if x >> 63 else x) for x in words_)), ",").cast("array<bigint>")
+
+
+def in_bitmap(hashed: Column, bitmap: Column) -> Column:
+    b = bucket(hashed)
+    return F.getbit(F.get(bitmap, F.shiftright(b, 6)), b.bitwiseAND(F.lit(63))) == 1
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 

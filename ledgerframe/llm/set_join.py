@@ -24,11 +24,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerframe.llm.common import forget, lower_ascii, stored, words
+from ledgerframe.llm.common import BITMAP_BITS, bitmap_of, forget, in_bitmap, lower_ascii, stored, words
 from ledgerframe.llm.components import components
 
-#: Shingles are counted in this many buckets (2,048 longs as a bitmap: a fixed size).
-BUCKETS = 1 << 17
+#: At most this many shingles are kept out of the prefixes: a quarter of the bitmap's bits.
+MOST_FREQUENT = BITMAP_BITS // 4
 LEADER_ROUNDS = 2
 
 
@@ -43,43 +43,35 @@ def shingles(text: Column, width: int) -> Column:
     return F.element_at(F.transform(F.array(words(lower_ascii(text))), of), 1)
 
 
-def _bucket(shingle: Column) -> Column:
-    return F.pmod(shingle, F.lit(BUCKETS)).cast("int")
-
-
-def frequent_buckets(sets: DataFrame, percent: int) -> list[int]:
-    """Bitmap of the buckets whose index lists would be over four times the mean length.
-
-    It counts the prefixes of all documents in the plain order of hashes. Any fixed order of
-    shingles gives the same links; the order made from this bitmap keeps frequent shingles out of the
-    prefixes. At most BUCKETS rows reach the driver, a quarter at most can be over the bound.
-    """
-    listed = sets.select(F.explode(F.slice("shingles", F.lit(1), _prefix_length(F.size("shingles"), percent))).alias("s"))
-    rows = listed.select(_bucket(F.col("s")).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")).collect()
-    bound = 4 * sum(r["n"] for r in rows) / BUCKETS
-    bitmap = [0] * (BUCKETS // 64)
-    for r in rows:
-        if r["n"] > bound:
-            bitmap[r["bucket"] // 64] |= 1 << r["bucket"] % 64
-    return [x - (1 << 64) if x >> 63 else x for x in bitmap]
-
-
 def _prefix_length(n: Column, percent: int) -> Column:
     return F.when(n > 0, n - F.ceil(n * percent / 100).cast("int") + 1).otherwise(0)
 
 
-def with_prefix(sets: DataFrame, percent: int, bitmap: list[int]) -> DataFrame:
-    """Adds ``prefix``: the shingles that the index lists, infrequent buckets first, then by hash."""
-    table = F.lit(bitmap)
-
-    def frequent(s: Column) -> Column:
-        b = _bucket(s)
-        return F.getbit(F.get(table, F.shiftright(b, 6)), b.bitwiseAND(F.lit(63))) == 1
+def frequent_shingles(sets: DataFrame, percent: int) -> Column:
+    """Bitmap of the shingles with the longest index lists, at most MOST_FREQUENT of them.
 
+    It counts the first shingles of all documents in the plain order of hashes. Any fixed order of
+    shingles gives the same links; the one made from this bitmap keeps frequent shingles out of the
+    prefixes.
+    """
+    first = F.slice("shingles", F.lit(1), (_prefix_length(F.size("shingles"), percent) * 3 / 2).cast("int"))
+    lists = stored(sets.select(F.explode(first).alias("s")).groupBy("s").agg(F.count("*").alias("k")).filter("k >= 4"), "frequent")
+    shortest, total = 4, 0
+    sizes = lists.groupBy(F.floor(F.log2("k")).cast("int").alias("e")).agg(F.count("*").alias("n")).collect()
+    for e, n in sorted(((r["e"], r["n"]) for r in sizes), reverse=True):  # one row for each power of two
+        total += n
+        if total > MOST_FREQUENT:
+            shortest = 2 ** (e + 1)
+            break
+    return bitmap_of(lists.filter(F.col("k") >= shortest).select("s"))
+
+
+def with_prefix(sets: DataFrame, percent: int, frequent: Column) -> DataFrame:
+    """Adds ``prefix``: the shingles that the index lists, infrequent ones first, then by hash."""
     all_, length = F.col("shingles"), _prefix_length(F.size("shingles"), percent)
     # most prefixes are found near the front; only where they aren't, all shingles are looked at
-    near = sets.withColumn("near", F.filter(F.slice(all_, F.lit(1), 2 * length + 16), lambda s: ~frequent(s)))
-    ordered = F.concat(F.filter(all_, lambda s: ~frequent(s)), F.filter(all_, frequent))
+    near = sets.withColumn("near", F.filter(F.slice(all_, F.lit(1), 2 * length + 16), lambda s: ~in_bitmap(s, frequent)))
+    ordered = F.concat(F.filter(all_, lambda s: ~in_bitmap(s, frequent)), F.filter(all_, lambda s: in_bitmap(s, frequent)))
     return near.withColumn("prefix", F.slice(F.when(F.size("near") >= length, F.col("near")).otherwise(ordered), F.lit(1), length)).drop("near")
 
 
@@ -88,19 +80,40 @@ def _size_class(n: Column, percent: int) -> Column:
 
 
 def _can_reach(percent: int) -> Column:
-    """Sizes allow the similarity, and so do the positions of the shared shingle."""
+    """Sizes allow the similarity, and so do the positions of the shared shingle.
+
+    The first shingle that two similar sets share passes; later ones may not.
+    """
     smaller, larger = F.least("n", "n2"), F.greatest("n", "n2")
     most = 1 + F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
     return (100 * smaller >= percent * larger) & ((100 + percent) * most >= percent * (F.col("n") + F.col("n2")))
 
 
-def _links(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+def _likely(met: DataFrame, percent: int, share: float) -> DataFrame:
+    """Pairs (a, b) that share enough of their prefixes.
+
+    What two sets share lies in both prefixes, or after the end of one: the similarity needs
+    ``least`` shared prefix shingles. ``share`` below 1 asks for that part of them only.
+    """
+    behind = F.greatest(F.col("n") - _prefix_length(F.col("n"), percent), F.col("n2") - _prefix_length(F.col("n2"), percent))
+    least = percent * (F.col("n") + F.col("n2")) / (100 + percent) - behind
+    ends = met.select(F.greatest("sid", "sid2").alias("a"), F.least("sid", "sid2").alias("b"), _can_reach(percent).cast("int").alias("first"), least.alias("least"))
+    pairs = ends.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("first").alias("first"), F.max("least").alias("least"))
+    return pairs.filter((F.col("first") == 1) & (F.col("shared") >= share * F.col("least") - 1e-6)).select("a", "b")
+
+
+def _links(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
     """The pairs (a, b) whose whole sets have the similarity."""
+    ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "ends")
+    near = docs.filter(in_bitmap(F.xxhash64("doc_id"), bitmap_of(ends.select(F.xxhash64("sid")))))
+    texts = near.withColumnRenamed("doc_id", "sid").join(ends, "sid", "left_semi")
+    full = stored(texts.select("sid", shingles(F.col("text"), width).alias("shingles")).filter(F.size("shingles") > 0), "full")
     left = full.select(F.col("sid").alias("a"), F.col("shingles").alias("sa"))
     right = full.select(F.col("sid").alias("b"), F.col("shingles").alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb")).alias("sizes"))
-    return both.filter(100 * F.col("common") >= percent * (F.col("sizes") - F.col("common"))).select("a", "b").distinct()
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("common"), (F.size("sa") + F.size("sb")).alias("sizes"))
+    links = stored(both.filter(100 * F.col("common") >= percent * (F.col("sizes") - F.col("common"))).select("a", "b").distinct(), "links")
+    forget(full), forget(ends)
+    return links
 
 
 def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -111,9 +124,9 @@ def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3, doc_i
     """
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     whole = base.select("doc_id", shingles(F.col("text"), width).alias("shingles"))
-    bitmap = frequent_buckets(whole, percent)
     # one row for each document: size, 128-bit digest of its set, prefix
-    sets = stored(with_prefix(whole, percent, bitmap).select("doc_id", F.size("shingles").alias("n"), F.xxhash64("shingles").alias("d1"), F.xxhash64(F.lit(1), "shingles").alias("d2"), "prefix"), "sets")
+    prefixed = with_prefix(whole, percent, frequent_shingles(whole, percent))
+    sets = stored(prefixed.select("doc_id", F.size("shingles").alias("n"), F.xxhash64("shingles").alias("d1"), F.xxhash64(F.lit(1), "shingles").alias("d2"), "prefix"), "sets")
     with_id = sets.filter("doc_id IS NOT NULL AND n > 0")
     same = with_id.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("sid"))
     member = stored(with_id.drop("prefix").join(same, ["d1", "d2", "n"]).select("doc_id", "d1", "d2", "n", "sid"), "member")
@@ -123,40 +136,30 @@ def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3, doc_i
     entries = entries.select(F.col("doc_id").alias("sid"), "n", F.posexplode("prefix").alias("pos", "token")).withColumn("pos", F.col("pos") + 1)
     shared = entries.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo < hi").select("token")
     index = stored(entries.join(shared, "token", "left_semi").withColumn("block", _size_class(F.col("n"), percent)), "index")
-    wanted = index.select(F.col("sid").alias("doc_id")).distinct()
-    full = stored(base.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("sid"), shingles(F.col("text"), width).alias("shingles")).filter(F.size("shingles") > 0), "full")
 
     repeated = member.groupBy("doc_id").agg(F.min("sid").alias("b"), F.max("sid").alias("a")).filter("a <> b").select("a", "b")
-    links = stored(repeated, "links")
-    classes = None
+    links, classes = repeated, None
     for turn in range(LEADER_ROUNDS + 1):
         known = index if classes is None else index.join(classes.select(F.col("node").alias("sid"), F.col("component").alias("class")), "sid", "left")
         known = known.withColumn("class", F.col("sid") if classes is None else F.coalesce("class", "sid"))
-        if turn < LEADER_ROUNDS:
-            pairs = _leader_pairs(known, percent, turn)
-        else:
-            pairs = _remaining_pairs(known, percent)
-        pairs = stored(pairs, "pairs")
-        found = stored(links.union(_links(pairs, full, percent)).distinct(), "links")
-        forget(links)
-        links = found
+        met = _leader_pairs(known, turn) if turn < LEADER_ROUNDS else _remaining_pairs(known)
+        pairs = stored(_likely(met, percent, 0.5 if turn < LEADER_ROUNDS else 1), "pairs")
+        links = links.union(_links(pairs, base, percent, width))
         classes = stored(components(links), "classes")
-        forget(pairs)
     result = member.join(classes.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", "d1", "d2", "n", F.coalesce("component", "sid").alias("component_id")).dropDuplicates(["doc_id", "d1", "d2", "n"])
-    forget(index), forget(full)
+    forget(index)
     return sets.select("doc_id", "n", "d1", "d2").join(result, ["doc_id", "d1", "d2", "n"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _leader_pairs(known: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Each set with the leader of each of its blocks; the leader follows from a hash, another one each turn."""
+def _leader_pairs(known: DataFrame, turn: int) -> DataFrame:
+    """Each entry with the leader of its block; the leader follows from a hash, another one each turn."""
     block = ["token", "block"]
     leaders = known.groupBy(*block).agg(F.min(F.struct(F.xxhash64(F.lit(turn), "sid").alias("h"), "sid", "n", "pos", "class")).alias("lead"), F.min("class").alias("lo"), F.max("class").alias("hi"))
     leaders = leaders.filter("lo < hi").select(*block, F.col("lead.sid").alias("sid2"), F.col("lead.n").alias("n2"), F.col("lead.pos").alias("pos2"), F.col("lead.class").alias("class2"))
-    met = known.join(leaders, block).filter(F.col("class") != F.col("class2")).filter(_can_reach(percent))
-    return met.select(F.greatest("sid", "sid2").alias("a"), F.least("sid", "sid2").alias("b")).distinct()
+    return known.join(leaders, block).filter("class <> class2")
 
 
-def _remaining_pairs(known: DataFrame, percent: int) -> DataFrame:
+def _remaining_pairs(known: DataFrame) -> DataFrame:
     """All pairs of different classes that meet in a list.
 
     The largest class of a list isn't paired with itself: only the others visit the list's blocks.
@@ -165,6 +168,4 @@ def _remaining_pairs(known: DataFrame, percent: int) -> DataFrame:
     lists = per.groupBy("token").agg(F.count("*").alias("classes"), F.max(F.struct("k", "class")).alias("top")).filter("classes > 1").select("token", F.col("top.class").alias("top"))
     open_ = known.join(lists, "token")
     visiting = open_.filter("class <> top").select("token", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"), F.col("sid").alias("sid2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("class").alias("class2"))
-    met = open_.join(visiting, ["token", "block"]).filter(F.col("class") != F.col("class2"))
-    once = (F.col("class") == F.col("top")) | (F.col("sid") < F.col("sid2"))
-    return met.filter(once).filter(_can_reach(percent)).select(F.greatest("sid", "sid2").alias("a"), F.least("sid", "sid2").alias("b")).distinct()
+    return open_.join(visiting, ["token", "block"]).filter((F.col("class") != F.col("class2")) & ((F.col("class") == F.col("top")) | (F.col("sid") < F.col("sid2"))))
