@@ -2,15 +2,22 @@
 
 Each text becomes its set of word shingles. Equal sets are one set from the start. An inverted
 index holds, for every shingle in a set's prefix (rare shingles first; two sets with Jaccard
-similarity t share a prefix shingle), a list of (set, size, position):
-
-* Index skipping: a list is cut into blocks by size class, a set only visits the blocks whose
-  sizes can reach t, and an entry is passed over when its position leaves too few shingles after it.
-* Answer skipping: sets first meet one leading set per block only. A set that is found similar to
-  the leader takes over the leader's answers: both get the same class. Later visits skip every
-  block whose sets all have one class already, and within the others all pairs of one class, so a
-  group of k similar sets costs k comparisons and not k squared. What is left is compared pair by
-  pair, so no link between different classes is missed.
+similarity t share a prefix shingle), a list of (set, size, position).
+
+Sets first meet the leader of each of their lists only, the set that a hash puts first. The
+differences to a leader that is highly similar are kept; the sets with one leader are a group.
+
+* Answer skipping: within a group, what a set links with follows from differences alone. Against
+  any one reference set, |x ^ y| = |dx| + |dy| - 2 |dx & dy|; the reference is the leader with the
+  shingles flipped in which most of the group differs from it. With e = |d| - u |x| and
+  u = (1 - t) / (1 + t), x and y link if e(x) + e(y) <= 2 |dx & dy|. So sets that link without
+  common differences link with the set of the least e, too, and all others share one of the first
+  shingles of their differences (rarest first). An index over those finds them, again with leaders
+  of lists first: a set takes over the class of the leader it links with, and later visits skip
+  what has one class already. Lists over whole sets are not looked at within a group.
+* Index skipping: across groups, a list is cut into blocks by size class. A set only visits the
+  blocks whose sizes can reach t, the largest group of a list never visits itself, and pairs whose
+  shared positions and numbers leave too few shingles are passed over before any set is compared.
 
 Defined results: null or word-free texts have an empty set, size 0, and link with nothing; fewer
 than ``width`` words are one shingle; rows with a null doc_id have a null component and link with
@@ -29,7 +36,8 @@ from ledgerframe.llm.components import components
 
 #: At most this many shingles are kept out of the prefixes: a quarter of the bitmap's bits.
 MOST_FREQUENT = BITMAP_BITS // 4
-LEADER_ROUNDS = 2
+#: A leader is highly similar from this similarity on, in percent.
+RELATED = 60
 
 
 def shingles(text: Column, width: int) -> Column:
@@ -54,7 +62,7 @@ def frequent_shingles(sets: DataFrame, percent: int) -> Column:
     shingles gives the same links; the one made from this bitmap keeps frequent shingles out of the
     prefixes.
     """
-    first = F.slice("shingles", F.lit(1), (_prefix_length(F.size("shingles"), percent) * 3 / 2).cast("int"))
+    first = F.slice("first", F.lit(1), (_prefix_length(F.col("n"), percent) * 3 / 2).cast("int"))
     lists = stored(sets.select(F.explode(first).alias("s")).groupBy("s").agg(F.count("*").alias("k")).filter("k >= 4"), "frequent")
     shortest, total = 4, 0
     sizes = lists.groupBy(F.floor(F.log2("k")).cast("int").alias("e")).agg(F.count("*").alias("n")).collect()
@@ -66,54 +74,59 @@ def frequent_shingles(sets: DataFrame, percent: int) -> Column:
     return bitmap_of(lists.filter(F.col("k") >= shortest).select("s"))
 
 
-def with_prefix(sets: DataFrame, percent: int, frequent: Column) -> DataFrame:
-    """Adds ``prefix``: the shingles that the index lists, infrequent ones first, then by hash."""
-    all_, length = F.col("shingles"), _prefix_length(F.size("shingles"), percent)
-    # most prefixes are found near the front; only where they aren't, all shingles are looked at
-    near = sets.withColumn("near", F.filter(F.slice(all_, F.lit(1), 2 * length + 16), lambda s: ~in_bitmap(s, frequent)))
-    ordered = F.concat(F.filter(all_, lambda s: ~in_bitmap(s, frequent)), F.filter(all_, lambda s: in_bitmap(s, frequent)))
-    return near.withColumn("prefix", F.slice(F.when(F.size("near") >= length, F.col("near")).otherwise(ordered), F.lit(1), length)).drop("near")
+def _prefixes(sets: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """(sid, n, prefix) of each set in ``sets``: infrequent shingles first, then by hash.
+
+    Most prefixes are found among the first shingles, which are at hand; only where these are too
+    few, all shingles of the text are looked at again.
+    """
+    frequent = frequent_shingles(sets, percent)
+    length = _prefix_length(F.col("n"), percent)
+    near = sets.withColumn("near", F.filter("first", lambda s: ~in_bitmap(s, frequent)))
+    done = near.filter((F.size("near") >= length) | (F.size("first") == F.col("n"))).withColumn("all", F.concat("near", F.filter("first", lambda s: in_bitmap(s, frequent))))
+    more = near.filter((F.size("near") < length) & (F.size("first") < F.col("n"))).select("sid", "d1", "n")
+    whole = _texts_of(more.select("sid"), docs).select("sid", shingles(F.col("text"), width).alias("s")).join(more.withColumnRenamed("sid", "sid2"), (F.col("sid") == F.col("sid2")) & (F.xxhash64("s") == F.col("d1")))
+    rest = whole.withColumn("all", F.concat(F.filter("s", lambda s: ~in_bitmap(s, frequent)), F.filter("s", lambda s: in_bitmap(s, frequent))))
+    return done.select("sid", "n", F.slice("all", F.lit(1), length).alias("prefix")).union(rest.select("sid", "n", F.slice("all", F.lit(1), length).alias("prefix")))
+
+
+def _texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(sid, text) of the documents in ``ids``; a bitmap of their hashes saves moving most others."""
+    ids = stored(ids.distinct(), "ids")
+    near = docs.filter(in_bitmap(F.xxhash64("doc_id"), bitmap_of(ids.select(F.xxhash64("sid")))))
+    return near.withColumnRenamed("doc_id", "sid").join(ids, "sid", "left_semi")
 
 
 def _size_class(n: Column, percent: int) -> Column:
     return F.floor(F.log(n.cast("double")) / -math.log(percent / 100) + 1e-9).cast("int") if percent < 100 else n
 
 
-def _can_reach(percent: int) -> Column:
-    """Sizes allow the similarity, and so do the positions of the shared shingle.
-
-    The first shingle that two similar sets share passes; later ones may not.
-    """
-    smaller, larger = F.least("n", "n2"), F.greatest("n", "n2")
-    most = 1 + F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
-    return (100 * smaller >= percent * larger) & ((100 + percent) * most >= percent * (F.col("n") + F.col("n2")))
+def _similar(percent: int) -> Column:
+    """Sizes na, nb and the number of common shingles give the similarity."""
+    return 100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))
 
 
 def _likely(met: DataFrame, percent: int, share: float) -> DataFrame:
     """Pairs (a, b) that share enough of their prefixes.
 
     What two sets share lies in both prefixes, or after the end of one: the similarity needs
-    ``least`` shared prefix shingles. ``share`` below 1 asks for that part of them only.
+    ``least`` shared prefix shingles. The first of them leaves enough shingles after its positions.
+    ``share`` below 1 asks for that part only, and for no position.
     """
-    behind = F.greatest(F.col("n") - _prefix_length(F.col("n"), percent), F.col("n2") - _prefix_length(F.col("n2"), percent))
-    least = percent * (F.col("n") + F.col("n2")) / (100 + percent) - behind
-    ends = met.select(F.greatest("sid", "sid2").alias("a"), F.least("sid", "sid2").alias("b"), _can_reach(percent).cast("int").alias("first"), least.alias("least"))
-    pairs = ends.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("first").alias("first"), F.max("least").alias("least"))
-    return pairs.filter((F.col("first") == 1) & (F.col("shared") >= share * F.col("least") - 1e-6)).select("a", "b")
-
-
-def _links(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets have the similarity."""
-    ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "ends")
-    near = docs.filter(in_bitmap(F.xxhash64("doc_id"), bitmap_of(ends.select(F.xxhash64("sid")))))
-    texts = near.withColumnRenamed("doc_id", "sid").join(ends, "sid", "left_semi")
-    full = stored(texts.select("sid", shingles(F.col("text"), width).alias("shingles")).filter(F.size("shingles") > 0), "full")
-    left = full.select(F.col("sid").alias("a"), F.col("shingles").alias("sa"))
-    right = full.select(F.col("sid").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("common"), (F.size("sa") + F.size("sb")).alias("sizes"))
-    links = stored(both.filter(100 * F.col("common") >= percent * (F.col("sizes") - F.col("common"))).select("a", "b").distinct(), "links")
-    forget(full), forget(ends)
-    return links
+    length_a, length_b = _prefix_length(F.col("na"), percent), _prefix_length(F.col("nb"), percent)
+    sizes = F.col("na") + F.col("nb")
+    least = percent * sizes / (100 + percent) - F.greatest(F.col("na") - length_a, F.col("nb") - length_b)
+    most = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    first = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & ((100 + percent) * most >= percent * sizes)
+    pairs = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max(first.cast("int")).alias("first"), F.max(least).alias("least"))
+    return pairs.filter((F.col("shared") >= share * F.col("least") - 1e-6) & (F.lit(share < 1) | (F.col("first") == 1))).select("a", "b")
+
+
+def _compared(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """The pairs with both whole sets (columns sa, sb) and the size of their intersection."""
+    full = stored(_texts_of(pairs.select(F.explode(F.array("a", "b")).alias("sid")), docs).select("sid", shingles(F.col("text"), width).alias("s")).filter(F.size("s") > 0), "full")
+    both = pairs.join(full.select(F.col("sid").alias("a"), F.col("s").alias("sa")), "a").join(full.select(F.col("sid").alias("b"), F.col("s").alias("sb")), "b")
+    return both.select("a", "b", "sa", "sb", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"))
 
 
 def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -123,49 +136,118 @@ def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3, doc_i
     doc_id reachable by links, the own one included.
     """
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    whole = base.select("doc_id", shingles(F.col("text"), width).alias("shingles"))
-    # one row for each document: size, 128-bit digest of its set, prefix
-    prefixed = with_prefix(whole, percent, frequent_shingles(whole, percent))
-    sets = stored(prefixed.select("doc_id", F.size("shingles").alias("n"), F.xxhash64("shingles").alias("d1"), F.xxhash64(F.lit(1), "shingles").alias("d2"), "prefix"), "sets")
+    whole = base.select("doc_id", shingles(F.col("text"), width).alias("s")).withColumn("n", F.size("s"))
+    # one row for each document: size, 128-bit digest of its set, the first shingles by hash
+    some = F.slice("s", F.lit(1), 2 * _prefix_length(F.col("n"), percent) + 16)
+    sets = stored(whole.select("doc_id", "n", F.xxhash64("s").alias("d1"), F.xxhash64(F.lit(1), "s").alias("d2"), some.alias("first")), "sets")
     with_id = sets.filter("doc_id IS NOT NULL AND n > 0")
-    same = with_id.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("sid"))
-    member = stored(with_id.drop("prefix").join(same, ["d1", "d2", "n"]).select("doc_id", "d1", "d2", "n", "sid"), "member")
+    key = ["d1", "d2", "n"]
+    same = with_id.groupBy(*key).agg(F.min("doc_id").alias("sid"))
+    member = stored(with_id.select("doc_id", *key).join(same, key), "member")
+    reps = with_id.join(same.withColumnRenamed("sid", "doc_id"), ["doc_id", *key], "left_semi").dropDuplicates(["doc_id", *key]).withColumnRenamed("doc_id", "sid")
     # the index: prefix shingles that two different sets have at least
-    reps = member.filter("doc_id = sid").select("doc_id", "d1", "d2").distinct()
-    entries = with_id.join(reps, ["doc_id", "d1", "d2"], "left_semi").dropDuplicates(["doc_id", "d1", "d2"])
-    entries = entries.select(F.col("doc_id").alias("sid"), "n", F.posexplode("prefix").alias("pos", "token")).withColumn("pos", F.col("pos") + 1)
+    entries = _prefixes(reps, base, percent, width).select("sid", "n", F.posexplode("prefix").alias("pos", "token")).withColumn("pos", F.col("pos") + 1)
+    entries = stored(entries, "entries")
     shared = entries.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo < hi").select("token")
     index = stored(entries.join(shared, "token", "left_semi").withColumn("block", _size_class(F.col("n"), percent)), "index")
+    forget(entries)
 
     repeated = member.groupBy("doc_id").agg(F.min("sid").alias("b"), F.max("sid").alias("a")).filter("a <> b").select("a", "b")
-    links, classes = repeated, None
-    for turn in range(LEADER_ROUNDS + 1):
-        known = index if classes is None else index.join(classes.select(F.col("node").alias("sid"), F.col("component").alias("class")), "sid", "left")
-        known = known.withColumn("class", F.col("sid") if classes is None else F.coalesce("class", "sid"))
-        met = _leader_pairs(known, turn) if turn < LEADER_ROUNDS else _remaining_pairs(known)
-        pairs = stored(_likely(met, percent, 0.5 if turn < LEADER_ROUNDS else 1), "pairs")
-        links = links.union(_links(pairs, base, percent, width))
-        classes = stored(components(links), "classes")
-    result = member.join(classes.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", "d1", "d2", "n", F.coalesce("component", "sid").alias("component_id")).dropDuplicates(["doc_id", "d1", "d2", "n"])
-    forget(index)
-    return sets.select("doc_id", "n", "d1", "d2").join(result, ["doc_id", "d1", "d2", "n"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-
-
-def _leader_pairs(known: DataFrame, turn: int) -> DataFrame:
-    """Each entry with the leader of its block; the leader follows from a hash, another one each turn."""
-    block = ["token", "block"]
-    leaders = known.groupBy(*block).agg(F.min(F.struct(F.xxhash64(F.lit(turn), "sid").alias("h"), "sid", "n", "pos", "class")).alias("lead"), F.min("class").alias("lo"), F.max("class").alias("hi"))
-    leaders = leaders.filter("lo < hi").select(*block, F.col("lead.sid").alias("sid2"), F.col("lead.n").alias("n2"), F.col("lead.pos").alias("pos2"), F.col("lead.class").alias("class2"))
-    return known.join(leaders, block).filter("class <> class2")
-
-
-def _remaining_pairs(known: DataFrame) -> DataFrame:
-    """All pairs of different classes that meet in a list.
-
-    The largest class of a list isn't paired with itself: only the others visit the list's blocks.
+    pairs = stored(_likely(_leader_pairs(index), percent, 0.3), "pairs")
+    led = _compared(pairs, base, width).filter(100 * F.col("common") >= min(RELATED, percent) * (F.col("na") + F.col("nb") - F.col("common")))
+    led = stored(led.select("a", "b", "na", "nb", "common", F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa")).alias("delta")), "led")
+    links = repeated.union(led.filter(_similar(percent)).select("a", "b"))
+    groups = stored(_groups(led, percent), "groups")
+    links = _links_in_groups(groups, links, percent)
+    classes = stored(components(links), "classes")
+    pairs = stored(_likely(_pairs_across(index, classes, groups), percent, 1), "pairs")
+    links = links.union(stored(_compared(pairs, base, width).filter(_similar(percent)).select("a", "b"), "links"))
+    classes = stored(components(links), "classes")
+
+    result = member.join(classes.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", *key, F.coalesce("component", "sid").alias("component_id")).dropDuplicates(["doc_id", *key])
+    forget(index), forget(led), forget(groups)
+    return sets.select("doc_id", *key).join(result, ["doc_id", *key], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _leader_pairs(index: DataFrame) -> DataFrame:
+    """Each entry (a) with the leader of its list (b)."""
+    leaders = index.groupBy("token").agg(F.min(F.struct(F.xxhash64("sid").alias("h"), "sid", "n", "pos")).alias("lead"))
+    leaders = leaders.select("token", F.col("lead.sid").alias("b"), F.col("lead.n").alias("nb"), F.col("lead.pos").alias("pb"))
+    return index.select("token", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa")).join(leaders, "token").filter("a <> b")
+
+
+def _groups(led: DataFrame, percent: int) -> DataFrame:
+    """(sid, lead, n, e, delta): each set with the first of its highly similar leaders.
+
+    A set that others follow leads itself. ``delta`` is the difference to the group's reference,
+    its shingles in order of their frequency in the group.
+    """
+    first = led.groupBy("a").agg(F.min(F.struct(F.xxhash64("b").alias("h"), F.col("b"))).alias("lead")).select("a", F.col("lead.b").alias("b"))
+    chosen = led.join(first, ["a", "b"])
+    heads = chosen.groupBy("b").agg(F.max("nb").alias("n"))
+    follow = chosen.join(heads.select(F.col("b").alias("a")), "a", "left_anti").select(F.col("a").alias("sid"), F.col("b").alias("lead"), F.col("na").alias("n"), "delta")
+    raw = stored(follow.union(heads.select("b", "b", "n", F.array().cast("array<bigint>"))), "raw")
+    sizes = raw.groupBy("lead").agg(F.count("*").alias("size"))
+    counts = raw.select("lead", F.explode("delta").alias("token")).groupBy("lead", "token").agg(F.count("*").alias("k")).join(sizes, "lead")
+    flips = counts.filter("2 * k > size").groupBy("lead").agg(F.collect_list("token").alias("flip"))
+    flip = F.coalesce("flip", F.array().cast("array<bigint>"))
+    moved = raw.join(flips, "lead", "left").select("sid", "lead", "n", F.concat(F.array_except("delta", flip), F.array_except(flip, "delta")).alias("delta"))
+    seen = counts.select("lead", "token", F.when(F.expr("2 * k > size"), F.col("size") - F.col("k")).otherwise(F.col("k")).alias("k"))
+    ranked = moved.select("sid", "lead", F.explode("delta").alias("token")).join(seen, ["lead", "token"]).groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("k", "token"))).alias("r"))
+    full = moved.drop("delta").join(ranked.select("sid", F.col("r.token").alias("delta")), "sid", "left").withColumn("delta", F.coalesce("delta", F.array().cast("array<bigint>")))
+    return full.withColumn("e", F.size("delta") - F.col("n") * ((100 - percent) / (100 + percent)))
+
+
+def _links_in_groups(groups: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """``links`` and, between sets of one group, as many more as give the same classes as all would."""
+    hub = groups.groupBy("lead").agg(F.min(F.struct("e", "sid")).alias("hub")).select("lead", F.col("hub.sid").alias("y"), F.col("hub.e").alias("e0"))
+    links = links.union(stored(_from_differences(groups.join(hub, "lead").filter("sid <> y").select(F.col("sid").alias("x"), "y"), groups, percent), "links"))
+    # sets of different classes share over (e + e0) / 2 shingles of their differences
+    least = F.greatest(F.lit(1), F.ceil((F.col("e") + F.col("e0")) / 2 - 1e-6))
+    prefix = F.slice("delta", F.lit(1), F.greatest(F.lit(0), F.size("delta") - least + 1).cast("int"))
+    lists = stored(groups.join(hub, "lead").select("lead", "sid", "e", F.explode(prefix).alias("token")), "lists")
+    key = ["lead", "token"]
+    for turn in range(3):
+        known = _with_class(lists, components(links))
+        per = known.groupBy(*key, "class").agg(F.count("*").alias("k"), F.min(F.struct(F.col("e") if turn == 0 else F.xxhash64("sid").alias("e"), F.col("sid"))).alias("best"))
+        tops = per.groupBy(*key).agg(F.count("*").alias("classes"), F.max(F.struct("k", "class")).alias("top"), F.min("best").alias("best")).filter("classes > 1")
+        open_ = known.join(tops.select(*key, F.col("top.class").alias("top"), F.col("best.sid").alias("y")), key)
+        if turn < 2:
+            pairs = open_.filter("sid <> y").select(F.col("sid").alias("x"), "y").distinct()
+        else:
+            visiting = open_.filter("class <> top").select(*key, F.col("sid").alias("y"), F.col("class").alias("class2"))
+            pairs = open_.drop("y").join(visiting, key).filter((F.col("class") != F.col("class2")) & ((F.col("class") == F.col("top")) | (F.col("sid") < F.col("y")))).select(F.col("sid").alias("x"), "y").distinct()
+        links = links.union(stored(_from_differences(pairs, groups, percent), "links"))
+    return links
+
+
+def _from_differences(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """The similar ones of pairs (x, y) of one group, from their differences to its leader."""
+    a = groups.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("delta").alias("da"))
+    b = groups.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("delta").alias("db"))
+    apart = F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))
+    both = pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct().join(a, "a").join(b, "b")
+    return both.withColumn("common", ((F.col("na") + F.col("nb") - apart) / 2).cast("int")).filter(_similar(percent)).select("a", "b")
+
+
+def _with_class(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    known = sets.join(classes.select(F.col("node").alias("sid"), F.col("component").alias("class")), "sid", "left")
+    return known.withColumn("class", F.coalesce("class", "sid"))
+
+
+def _pairs_across(index: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
+    """All pairs of different classes and groups that meet in a list.
+
+    The largest group of a list isn't paired with itself: only the others visit the list's blocks.
     """
-    per = known.groupBy("token", "class").agg(F.count("*").alias("k"))
-    lists = per.groupBy("token").agg(F.count("*").alias("classes"), F.max(F.struct("k", "class")).alias("top")).filter("classes > 1").select("token", F.col("top.class").alias("top"))
+    known = _with_class(index, classes).join(groups.select("sid", "lead"), "sid", "left").withColumn("group", F.coalesce("lead", "sid")).drop("lead")
+    known = stored(known, "known")
+    per = known.groupBy("token", "group").agg(F.count("*").alias("k"), F.min("class").alias("lo"), F.max("class").alias("hi"))
+    lists = per.groupBy("token").agg(F.count("*").alias("groups"), F.max(F.struct("k", "group")).alias("top"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    lists = lists.filter("groups > 1 AND lo < hi").select("token", F.col("top.group").alias("top"))
     open_ = known.join(lists, "token")
-    visiting = open_.filter("class <> top").select("token", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"), F.col("sid").alias("sid2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("class").alias("class2"))
-    return open_.join(visiting, ["token", "block"]).filter((F.col("class") != F.col("class2")) & ((F.col("class") == F.col("top")) | (F.col("sid") < F.col("sid2"))))
+    visiting = open_.filter("group <> top").select("token", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"), F.col("sid").alias("sid2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("class").alias("class2"), F.col("group").alias("group2"))
+    apart = (F.col("class") != F.col("class2")) & (F.col("group") != F.col("group2"))
+    met = open_.join(visiting, ["token", "block"]).filter(apart & ((F.col("group") == F.col("top")) | (F.col("sid") < F.col("sid2"))))
+    larger = F.col("sid") > F.col("sid2")
+    return met.select(F.greatest("sid", "sid2").alias("a"), F.least("sid", "sid2").alias("b"), *[F.when(larger, x).otherwise(y).alias(z) for x, y, z in ((F.col("n"), F.col("n2"), "na"), (F.col("n2"), F.col("n"), "nb"), (F.col("pos"), F.col("pos2"), "pa"), (F.col("pos2"), F.col("pos"), "pb"))])
