@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerframe.llm import bpe, decision_list, rule_ensemble, set_join
+from ledgerframe.llm import bpe, decision_list, decontamination, rule_ensemble, set_join
 from ledgerframe.llm.common import read_table
 
 #: Where the public tokenizer files lie; the package of that name is on every worker.
@@ -18,6 +18,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ensemble.op1_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_join.jaccard_components(read_table(spark, sf_dir, "documents"))
 
@@ -32,9 +36,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_decontamination": op2_decontamination,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op9_quality_rules": op9_quality_rules,
     "op10_bpe": op10_bpe,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op2_decontamination": decontamination.SQL}
