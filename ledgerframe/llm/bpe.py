@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerframe.llm.common import workers_import
+
 #: Fixed value: how byte-level vocabularies cut texts (the public GPT-2 pattern).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHE_BYTES = 64 << 20
@@ -205,6 +207,7 @@ def _codec(shared) -> PairIndexBpe:
 
 def _spec(df: DataFrame, path: str):
     """The vocabulary file has a fixed size (50,257 entries here): small enough to broadcast."""
+    workers_import(df.sparkSession)
     with open(path, encoding="utf-8") as f:
         return df.sparkSession.sparkContext.broadcast(f.read())
 

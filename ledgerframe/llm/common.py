@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,6 +76,14 @@ def in_bitmap(hashed: Column, bitmap: Column) -> Column:
     return F.getbit(F.get(bitmap, F.shiftright(b, 6)), b.bitwiseAND(F.lit(63))) == 1
 
 
+def workers_import(spark: SparkSession) -> None:
+    """Python workers find this package where the driver has it (on a cluster it is installed there)."""
+    root = str(Path(__file__).resolve().parents[2])
+    environment = spark.sparkContext.environment
+    if root not in environment.get("PYTHONPATH", "").split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, environment.get("PYTHONPATH", "")]))
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerframe.llm import bpe, decision_list, decontamination, pii, rule_ensemble, set_join
+from ledgerframe.llm import bpe, chat, decision_list, decontamination, pii, rule_ensemble, set_join, token_counts, url_filters
 from ledgerframe.llm.common import read_table
 
 #: Where the public tokenizer files lie; the package of that name is on every worker.
@@ -26,10 +26,22 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.op4_pii(read_table(spark, sf_dir, "documents"))
 
 
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.op5_urls(read_table(spark, sf_dir, "pages"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_join.jaccard_components(read_table(spark, sf_dir, "documents"))
 
 
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.op7_chat(read_table(spark, sf_dir, "conversations"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read_table(spark, sf_dir, "documents").select("doc_id", "text"), f"{TOKENIZERS}/byte_bpe_50k.json")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision_list.op9_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -42,7 +54,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_decontamination": op2_decontamination,
     "op4_pii": op4_pii,
+    "op5_url_filters": op5_url_filters,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_chat_formatting": op7_chat_formatting,
+    "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
     "op10_bpe": op10_bpe,
 }
