@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerframe.llm import bpe, chat, decision_list, decontamination, pii, rule_ensemble, set_join, token_counts, url_filters
+from ledgerframe.llm import bpe, chat, decision_list, decontamination, pii, rule_ensemble, set_join, suffix_dedup, token_counts, url_filters
 from ledgerframe.llm.common import read_table
 
 #: Where the public tokenizer files lie; the package of that name is on every worker.
@@ -22,6 +22,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.op3_suffix_dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.op4_pii(read_table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_decontamination": op2_decontamination,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_pii": op4_pii,
     "op5_url_filters": op5_url_filters,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
