@@ -11,11 +11,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerframe.llm import bpe, set_join
+from ledgerframe.llm import bpe, decontamination, pii, rule_ensemble, set_join
 from ledgerframe.llm.common import read_table, stored
 from ledgerframe.llm.queries import TOKENIZERS
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier predicts to be good; it learns from the labelled ones among them."""
+    model = rule_ensemble.fit(docs, read_table(spark, sf_dir, "labels"))
+    return rule_ensemble.score(docs, model).filter("predicted = 1").select(docs.columns)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one whose doc_id names the group.
 
@@ -28,6 +34,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return kept.filter("doc_id IS NULL").union(kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
 
 
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of a benchmark item."""
+    found = decontamination.overlaps(docs, read_table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(stored(found, "overlaps"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").select(docs.columns)
+
+
+def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the kind of each personal datum in its place; n_chars follows the text."""
+    clean = pii.redact(docs)
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with the digests of its ids and of the text they decode to."""
     path = f"{TOKENIZERS}/byte_bpe_50k.json"
@@ -36,7 +54,10 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality),
     ("near_duplicates", near_duplicates),
+    ("decontaminated", decontaminated),
+    ("redacted", redacted),
     ("tokens", tokens),
 ]
 
