@@ -107,7 +107,7 @@ def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
     while True:
         key = rank * (n + 1)
         key[: n - done] += rank[done:] + 1
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ordered = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.r_[0, ordered[1:] != ordered[:-1]])
@@ -143,7 +143,7 @@ def common_at_least(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndar
         size = high - low
         row = ragged(np.arange(n), low, size)
         key = np.repeat(np.arange(len(low)), size) * alphabet + transform[row]
-        by = np.argsort(key, kind="stable")  # rows of one interval and symbol together
+        by = np.argsort(key)  # rows of one interval and symbol together
         key, to = key[by], back[row[by]]
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         new_low, new_high = np.minimum.reduceat(to, first), np.maximum.reduceat(to, first) + 1
