@@ -106,20 +106,20 @@ def _similar(percent: int) -> Column:
     return 100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))
 
 
-def _likely(met: DataFrame, percent: int, share: float) -> DataFrame:
+def _likely(met: DataFrame, percent: int, leaders: bool) -> DataFrame:
     """Pairs (a, b) that share enough of their prefixes.
 
     What two sets share lies in both prefixes, or after the end of one: the similarity needs
     ``least`` shared prefix shingles. The first of them leaves enough shingles after its positions.
-    ``share`` below 1 asks for that part only, and for no position.
+    Leaders are not about links: sets that are highly similar share much of the shorter prefix.
     """
     length_a, length_b = _prefix_length(F.col("na"), percent), _prefix_length(F.col("nb"), percent)
     sizes = F.col("na") + F.col("nb")
-    least = percent * sizes / (100 + percent) - F.greatest(F.col("na") - length_a, F.col("nb") - length_b)
+    least = F.least(length_a, length_b) * 0.4 if leaders else percent * sizes / (100 + percent) - F.greatest(F.col("na") - length_a, F.col("nb") - length_b)
     most = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
     first = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & ((100 + percent) * most >= percent * sizes)
     pairs = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max(first.cast("int")).alias("first"), F.max(least).alias("least"))
-    return pairs.filter((F.col("shared") >= share * F.col("least") - 1e-6) & (F.lit(share < 1) | (F.col("first") == 1))).select("a", "b")
+    return pairs.filter((F.col("shared") >= F.col("least") - 1e-6) & (F.lit(leaders) | (F.col("first") == 1))).select("a", "b")
 
 
 def _compared(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
@@ -153,14 +153,14 @@ def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3, doc_i
     forget(entries)
 
     repeated = member.groupBy("doc_id").agg(F.min("sid").alias("b"), F.max("sid").alias("a")).filter("a <> b").select("a", "b")
-    pairs = stored(_likely(_leader_pairs(index), percent, 0.3), "pairs")
+    pairs = stored(_likely(_leader_pairs(index), percent, True), "pairs")
     led = _compared(pairs, base, width).filter(100 * F.col("common") >= min(RELATED, percent) * (F.col("na") + F.col("nb") - F.col("common")))
     led = stored(led.select("a", "b", "na", "nb", "common", F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa")).alias("delta")), "led")
     links = repeated.union(led.filter(_similar(percent)).select("a", "b"))
     groups = stored(_groups(led, percent), "groups")
     links = _links_in_groups(groups, links, percent)
     classes = stored(components(links), "classes")
-    pairs = stored(_likely(_pairs_across(index, classes, groups), percent, 1), "pairs")
+    pairs = stored(_likely(_pairs_across(index, classes, groups), percent, False), "pairs")
     links = links.union(stored(_compared(pairs, base, width).filter(_similar(percent)).select("a", "b"), "links"))
     classes = stored(components(links), "classes")
 
