@@ -111,11 +111,11 @@ def _likely(met: DataFrame, percent: int, leaders: bool) -> DataFrame:
 
     What two sets share lies in both prefixes, or after the end of one: the similarity needs
     ``least`` shared prefix shingles. The first of them leaves enough shingles after its positions.
-    Leaders are not about links: sets that are highly similar share much of the shorter prefix.
+    Leaders are not about links: a set is compared with those that lead much of what it has in lists.
     """
     length_a, length_b = _prefix_length(F.col("na"), percent), _prefix_length(F.col("nb"), percent)
     sizes = F.col("na") + F.col("nb")
-    least = F.least(length_a, length_b) * 0.4 if leaders else percent * sizes / (100 + percent) - F.greatest(F.col("na") - length_a, F.col("nb") - length_b)
+    least = F.greatest(F.least(length_a, length_b) * 0.15, F.col("listed") * 0.4) if leaders else percent * sizes / (100 + percent) - F.greatest(F.col("na") - length_a, F.col("nb") - length_b)
     most = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
     first = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & ((100 + percent) * most >= percent * sizes)
     pairs = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max(first.cast("int")).alias("first"), F.max(least).alias("least"))
@@ -160,7 +160,7 @@ def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3, doc_i
     groups = stored(_groups(led, percent), "groups")
     links = _links_in_groups(groups, links, percent)
     classes = stored(components(links), "classes")
-    pairs = stored(_likely(_pairs_across(index, classes, groups), percent, False), "pairs")
+    pairs = stored(_likely(_pairs_across(index, classes, groups, percent), percent, False), "pairs")
     links = links.union(stored(_compared(pairs, base, width).filter(_similar(percent)).select("a", "b"), "links"))
     classes = stored(components(links), "classes")
 
@@ -173,7 +173,9 @@ def _leader_pairs(index: DataFrame) -> DataFrame:
     """Each entry (a) with the leader of its list (b)."""
     leaders = index.groupBy("token").agg(F.min(F.struct(F.xxhash64("sid").alias("h"), "sid", "n", "pos")).alias("lead"))
     leaders = leaders.select("token", F.col("lead.sid").alias("b"), F.col("lead.n").alias("nb"), F.col("lead.pos").alias("pb"))
-    return index.select("token", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa")).join(leaders, "token").filter("a <> b")
+    listed = index.groupBy(F.col("sid").alias("a")).agg(F.count("*").alias("listed"))
+    met = index.select("token", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa")).join(leaders, "token").filter("a <> b")
+    return met.join(listed, "a")
 
 
 def _groups(led: DataFrame, percent: int) -> DataFrame:
@@ -235,7 +237,7 @@ def _with_class(sets: DataFrame, classes: DataFrame) -> DataFrame:
     return known.withColumn("class", F.coalesce("class", "sid"))
 
 
-def _pairs_across(index: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
+def _pairs_across(index: DataFrame, classes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """All pairs of different classes and groups that meet in a list.
 
     The largest group of a list isn't paired with itself: only the others visit the list's blocks.
@@ -248,6 +250,7 @@ def _pairs_across(index: DataFrame, classes: DataFrame, groups: DataFrame) -> Da
     open_ = known.join(lists, "token")
     visiting = open_.filter("group <> top").select("token", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"), F.col("sid").alias("sid2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("class").alias("class2"), F.col("group").alias("group2"))
     apart = (F.col("class") != F.col("class2")) & (F.col("group") != F.col("group2"))
-    met = open_.join(visiting, ["token", "block"]).filter(apart & ((F.col("group") == F.col("top")) | (F.col("sid") < F.col("sid2"))))
+    sizes = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
+    met = open_.join(visiting, ["token", "block"]).filter(apart & sizes & ((F.col("group") == F.col("top")) | (F.col("sid") < F.col("sid2"))))
     larger = F.col("sid") > F.col("sid2")
     return met.select(F.greatest("sid", "sid2").alias("a"), F.least("sid", "sid2").alias("b"), *[F.when(larger, x).otherwise(y).alias(z) for x, y, z in ((F.col("n"), F.col("n2"), "na"), (F.col("n2"), F.col("n"), "nb"), (F.col("pos"), F.col("pos2"), "pa"), (F.col("pos2"), F.col("pos"), "pb"))])
