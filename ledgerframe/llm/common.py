@@ -84,6 +84,15 @@ def workers_import(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, environment.get("PYTHONPATH", "")]))
 
 
+def only(df: DataFrame, condition: Column) -> DataFrame:
+    """``df.filter(condition)`` for a costly condition.
+
+    Spark would push the filter below the columns that it is made of and compute them anew for
+    every mention; it doesn't push through a generated column.
+    """
+    return df.withColumn("_only", F.explode_outer(F.array(condition))).filter("_only").drop("_only")
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 

@@ -124,7 +124,7 @@ def _likely(met: DataFrame, percent: int, leaders: bool) -> DataFrame:
 
 def _compared(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """The pairs with both whole sets (columns sa, sb) and the size of their intersection."""
-    full = stored(_texts_of(pairs.select(F.explode(F.array("a", "b")).alias("sid")), docs).select("sid", shingles(F.col("text"), width).alias("s")).filter(F.size("s") > 0), "full")
+    full = stored(_texts_of(pairs.select(F.explode(F.array("a", "b")).alias("sid")), docs).select("sid", shingles(F.col("text"), width).alias("s")), "full")
     both = pairs.join(full.select(F.col("sid").alias("a"), F.col("s").alias("sa")), "a").join(full.select(F.col("sid").alias("b"), F.col("s").alias("sb")), "b")
     return both.select("a", "b", "sa", "sb", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"))
 
