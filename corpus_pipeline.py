@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerframe.llm import bpe, decontamination, pii, rule_ensemble, set_join
-from ledgerframe.llm.common import read_table, stored
+from ledgerframe.llm.common import only, read_table, stored
 from ledgerframe.llm.queries import TOKENIZERS
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts to be good; it learns from the labelled ones among them."""
     model = rule_ensemble.fit(docs, read_table(spark, sf_dir, "labels"))
-    return rule_ensemble.score(docs, model).filter("predicted = 1").select(docs.columns)
+    return only(rule_ensemble.score(docs, model), F.col("predicted") == 1).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
