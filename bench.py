@@ -26,12 +26,12 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from ledgerframe.plans.checks import fanout_report  # noqa: E402
-from ledgerframe.plans.keys_reports import REPORT_RUNNERS  # noqa: E402
+from ledgerframe.plans.keys_reports import MONTH_RUNNERS, REPORT_RUNNERS  # noqa: E402
 from ledgerframe.session import build_session  # noqa: E402
 from ledgerframe.sources.demo import erp_tables  # noqa: E402
 from ledgerframe.sources.loaders import read_erp_lake, write_erp_lake  # noqa: E402
 
-RUNNERS = dict(REPORT_RUNNERS)
+RUNNERS = REPORT_RUNNERS | MONTH_RUNNERS
 RUNNERS["fanout_check"] = fanout_report
 
 

@@ -13,7 +13,7 @@ Semantic decisions (see SURVEY section 2.11):
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -39,15 +39,25 @@ def date_text_mon(c: ColumnOrName) -> Column:
     return F.date_format(_col(c), DAY_MON_YEAR)
 
 
+def first_digits(c: ColumnOrName) -> Column:
+    """``REGEXP_SUBSTR(s, '[0-9]+')``: the first run of digits, NULL when there is none."""
+    return F.regexp_substr(_col(c), F.lit("[0-9]+"))
+
+
 def first_number(c: ColumnOrName) -> Column:
-    """``TO_NUMBER(REGEXP_SUBSTR(s, '[0-9]+'))``: NULL when the text holds no digit."""
-    digits = F.regexp_substr(_col(c), F.lit("[0-9]+"))
-    return digits.try_cast("decimal(38,0)")
+    """``TO_NUMBER`` of the first digits; NULL without digits, and beyond 38 of them."""
+    return first_digits(c).try_cast("decimal(38,0)")
 
 
 def per_thousand(c: ColumnOrName) -> Column:
-    """``NVL(TO_NUMBER(REGEXP_SUBSTR(s,'[0-9]+')),0)/1000`` as an exact ``decimal(18,3)``."""
-    return (F.coalesce(first_number(c), F.lit(0)) / F.lit(1000)).cast("decimal(18,3)")
+    """The first number per thousand, exact at three decimals: 0 without digits.
+
+    A number too large for ``decimal(18,3)`` (over 18 significant digits) is unknown: NULL, neither
+    0 nor an error that ends the report.
+    """
+    digits = first_digits(c)
+    return F.when(digits.isNull(), F.lit(0).cast("decimal(18,3)")).otherwise(
+        F.concat(digits, F.lit("E-3")).try_cast("decimal(18,3)"))
 
 
 def last_chars(c: ColumnOrName, n: int = 6) -> Column:
@@ -62,11 +72,6 @@ def concat_null_safe(*parts: ColumnOrName) -> Column:
     return F.nullif(joined, F.lit(""))
 
 
-def blank_to_null(c: ColumnOrName) -> Column:
-    """Empty text becomes NULL, as the source database stores it (no trimming)."""
-    return F.nullif(_col(c), F.lit(""))
-
-
 def nvl(c: ColumnOrName, default: object) -> Column:
     """``NVL(x, default)``."""
     return F.coalesce(_col(c), F.lit(default))
@@ -109,12 +114,3 @@ def by_prefix(c: ColumnOrName, choices: Sequence[tuple[str, ColumnOrName]], defa
 def normalised_key(c: ColumnOrName) -> Column:
     """``TRIM(TO_CHAR(x))``: text form without surrounding blanks, for join keys."""
     return F.trim(_col(c).cast("string"))
-
-
-def asc_nulls_last_key(exprs: Iterable[ColumnOrName]) -> list[Column]:
-    """Sort-key parts that order ascending with NULLs last inside a struct comparison."""
-    out: list[Column] = []
-    for e in exprs:
-        c = _col(e)
-        out.extend([c.isNull(), c])
-    return out

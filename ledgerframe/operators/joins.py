@@ -49,7 +49,9 @@ def left_join_lines(head: DataFrame, lines: DataFrame, head_keys: Sequence[str],
     """
     cond = [head[h] == lines[k] for h, k in zip(head_keys, line_keys)]
     matched = head.join(lines, cond, "inner")
-    keys = lines.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(line_keys)]).distinct()
+    # only keys that a header can reach are looked at, not those of the whole line table
+    reached = only_keys(lines.select(*line_keys), line_keys, head, head_keys)
+    keys = reached.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(line_keys)]).distinct()
     anti = [head[h] == keys[f"__k{i}"] for i, h in enumerate(head_keys)]
     unmatched = head.join(keys, anti, "left_anti").select(
         *head.columns, *[F.lit(None).cast(f.dataType).alias(f.name) for f in lines.schema.fields])

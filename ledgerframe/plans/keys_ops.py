@@ -43,7 +43,7 @@ from ..sources.loaders import read_driver_tables
 from .checks import FANOUT_LOOKUPS, fanout_report, missing_labels
 from .costing import report_cost_ledger
 from .gl import GL_EXPORT_LABELS, account_titles, report_gl_expense_vouchers
-from .keys_reports import _AP_SQL, _GL_SQL, _LEDGER_SQL, _UNIT_SQL, REPORT_DATES, REPORT_MONTH
+from .keys_reports import _UNIT_SQL, REPORT_DATES, REPORT_MONTH, _cost_ledger, _payables, _vouchers
 from .oracle import with_fixtures
 from .payables import AP_KIND_OTHER, AP_KINDS, report_ap_invoices
 from .registry import register
@@ -114,7 +114,7 @@ def _trim_num(c: str) -> str:
 @register("rows_as_array", with_fixtures(f"""
 SELECT CAST(json_array(xcblcomp, xcblld, xcbl002, xcbl003, xcbl004, xcbl001, xcbl005, xcbl010, oocql004,
                        xcbl012, ooefl003, {_trim_num('xcbl100')}) AS VARCHAR) AS row
-FROM ({_LEDGER_SQL.format(**_M)})"""))
+FROM ({_cost_ledger(REPORT_MONTH)[1]})""", _cost_ledger(REPORT_MONTH)[0]))
 def rows_as_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows_as_arrays(report_cost_ledger(_erp(spark, sf_dir), MONTH))
 
@@ -125,8 +125,7 @@ SELECT CAST(json_object('APCADOCNO', apcadocno, 'APCADOCDT', apcadocdt, 'BRANCH_
                         'APCB005', apcb005, 'APCB007', {_trim_num('apcb007')}, 'APCB101', {_trim_num('apcb101')},
                         'APCB103', {_trim_num('apcb103')}, 'APCB104', {_trim_num('apcb104')},
                         'APCB105', {_trim_num('apcb105')}, 'APCA053', apca053, 'APCB028', apcb028) AS VARCHAR) AS row
-FROM ({_AP_SQL.format(range=f"a.apcadocdt >= {_ts(REPORT_DATES.start)} AND a.apcadocdt < {_ts(REPORT_DATES.end_exclusive)}",
-                      supplier="")})"""))
+FROM ({_payables(REPORT_DATES)[1]})""", _payables(REPORT_DATES)[0]))
 def rows_as_object(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows_as_objects(report_ap_invoices(_erp(spark, sf_dir), REPORT_DATES, ordered=False))
 
@@ -135,7 +134,8 @@ def _labelled_gl_sql() -> str:
     cols = ["glaq002", "glacl004", "glaqdocno", "glapdocdt", "glaq018", "ooefl004", "docno", "glaq001",
             "glaq003", "glaq004"]
     sel = ", ".join(f'{c} AS "{label}"' for c, label in zip(cols, GL_EXPORT_LABELS))
-    return with_fixtures(f"SELECT {sel} FROM ({_GL_SQL.format(**_M)})")
+    steps, body = _vouchers(REPORT_MONTH)
+    return with_fixtures(f"SELECT {sel} FROM ({body})", steps)
 
 
 @register("export_labelled", _labelled_gl_sql())

@@ -37,9 +37,6 @@ BRANCHES = {
 }
 BRANCH_OTHER = "NOT Match"
 CONFIRMED = "Y"
-# Lookups are cut down to the keys a date range can reach when the range covers at most this
-# many days; a longer range reaches most keys anyway and the extra semi-join would not pay.
-RESTRICT_MAX_DAYS = 366
 WASTE = "WASTE"
 LIST_SEP = ", "
 
@@ -87,12 +84,9 @@ def report_order_fulfilment(t: Mapping[str, DataFrame], dates: DateRange, entity
     head = on_days(t["xmdg_t"], "xmdg028", dates).filter(F.col("xmdgent") == entity)
     lines = t["xmdh_t"].filter(F.col("xmdhent") == entity).drop("xmdhent")
     # (notice, order) pairs the notices in range can reach: the shipment and order lookups are
-    # cut down to them before they are joined or aggregated (a month reads a month's worth).
-    narrow = (dates.end - dates.start).days < RESTRICT_MAX_DAYS
-    reach = head.join(lines, F.col("xmdgdocno") == F.col("xmdhdocno")).select("xmdgdocno", "xmdh001") \
-        if narrow else None
-    xmda = only_keys(t["xmda_t"], ["xmdadocno"], reach, ["xmdh001"]) if narrow else t["xmda_t"]
-    orders = max_per_key(xmda, ["xmdadocno"], ["xmda033"])
+    # cut down to them before they are joined or aggregated, whatever the length of the range.
+    reach = head.join(lines, F.col("xmdgdocno") == F.col("xmdhdocno")).select("xmdgdocno", "xmdh001")
+    orders = max_per_key(only_keys(t["xmda_t"], ["xmdadocno"], reach, ["xmdh001"]), ["xmdadocno"], ["xmda033"])
     contacts = labels(t["oofa_t"], "oofa003", "oofa011", ent_col="oofaent", entity=entity)
     depts = labels(t["ooefl_t"], "ooefl001", "ooefl003", lang_col="ooefl002", ent_col="ooeflent", entity=entity)
     items = labels(t["imaal_t"], "imaal001", "imaal003", lang_col="imaal002", lang=lang, ent_col="imaalent",
@@ -169,18 +163,19 @@ def shipment_chain(t: Mapping[str, DataFrame], entity: int, keys: DataFrame | No
     # Notice lines counted per (notice, order, unit) map-side first: a notice with very many
     # lines shrinks to a few rows before it is joined, so it cannot pile up in one task.
     notices = (
-        labels(t["xmdh_t"], "xmdhdocno", ["xmdh001", "xmdh015"], ent_col="xmdhent", entity=entity)
+        only_keys(labels(t["xmdh_t"], "xmdhdocno", ["xmdh001", "xmdh015"], ent_col="xmdhent", entity=entity),
+                  ["xmdhdocno", "xmdh001"], shipments, ["xmdl001", "xmdl003"])
         .groupBy("xmdhdocno", "xmdh001", per_thousand("xmdh015").alias("unit"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    orders = max_per_key(t["xmda_t"], ["xmdadocno"], ["xmda033"])
+    orders = max_per_key(only_keys(t["xmda_t"], ["xmdadocno"], shipments, ["xmdl003"]), ["xmdadocno"], ["xmda033"])
     return (
         shipments.join(notices, (F.col("xmdl001") == F.col("xmdhdocno")) & (F.col("xmdl003") == F.col("xmdh001")),
                        "left")
         .join(orders, F.col("xmdh001") == F.col("xmdadocno"), "left")
         .groupBy("xmdldocno", "xmdl003", "xmdl001",
                  F.coalesce(F.col("unit"), F.lit(0).cast("decimal(18,3)")).alias("unit"), "xmda033")
-        .agg(F.sum(F.coalesce(F.col("n"), F.lit(1))).cast("int").alias("w"))
+        .agg(F.sum(F.coalesce(F.col("n"), F.lit(1))).alias("w"))
     )
 
 
@@ -191,9 +186,8 @@ def _tax_invoice(t: Mapping[str, DataFrame], dates: DateRange, entity: int, with
     lines = t["isag_t"].filter(F.col("isagent") == entity)
     partners = labels(t["pmaa_t"], "pmaa001", "pmaa006", ent_col="pmaaent", entity=entity)
     parts = labels(t["pmao_t"], "pmao002", ["pmao001", "pmao004", "pmao010"], ent_col="pmaoent", entity=entity)
-    narrow = (dates.end - dates.start).days < RESTRICT_MAX_DAYS
     xrce = drop_null_keys(t["xrce_t"], ["xrce054"])
-    settle = settlement_lists(only_keys(xrce, ["xrce054"], head, ["isaf011"]) if narrow else xrce)
+    settle = settlement_lists(only_keys(xrce, ["xrce054"], head, ["isaf011"]))
 
     j = (
         left_join_lines(head, lines, ["isafdocno"], ["isagdocno"])
@@ -202,8 +196,7 @@ def _tax_invoice(t: Mapping[str, DataFrame], dates: DateRange, entity: int, with
         .join(parts, (F.col("pmao002") == F.col("isag009")) & (F.col("pmao001") == F.col("isaf002"))
               & (F.col("pmao004") == F.col("isag016")), "left")
     )
-    reached = head.join(lines, F.col("isafdocno") == F.col("isagdocno")).select("isag002", "isag019") \
-        if narrow else None
+    reached = head.join(lines, F.col("isafdocno") == F.col("isagdocno")).select("isag002", "isag019")
     chain = shipment_chain(t, entity, reached)
     j = (
         j.join(chain, (F.col("isag002") == F.col("xmdldocno")) & (F.col("isag019") == F.col("xmdl003")), "left")

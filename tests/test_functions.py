@@ -115,3 +115,10 @@ def test_date_filters_do_not_depend_on_session_zone(spark):
             assert [x[0] for x in df.select(date_text("d")).collect()][0] == "01/03/1995"
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_long_digit_runs_are_unknown_not_an_error(spark):
+    rows = [("12 pcs", "0.012"), ("1" * 18, "1" * 15 + ".111"), ("9" * 20, None), ("9" * 38, None), ("9" * 45, None), ("none", "0.000"), (None, "0.000")]
+    df = spark.createDataFrame(rows, "s string, want string")
+    got = df.select("s", "want", per_thousand("s").cast("string").alias("got")).collect()
+    assert [r["got"] for r in got] == [r["want"] for r in got]
