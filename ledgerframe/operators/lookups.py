@@ -8,8 +8,8 @@ Scale notes:
 * ``first_per_key`` is ``row_number() = 1`` over a total order; Spark plans a partial
   ``WindowGroupLimit`` before the shuffle, so a hot key ships one row per map task.
 * ``max_per_key`` / list builders aggregate partially before the shuffle.
-* A list is one output value per key, so its size is bounded by that key's distinct values;
-  values are deduplicated map-side before anything reaches the final task.
+* A list is one output value per key. Distinct lists are deduplicated map-side; ``ordered_list``
+  keeps repeats, so all rows of one key meet in one task (``list_sizes`` reports the longest).
 """
 
 from __future__ import annotations
@@ -32,7 +32,6 @@ def labels(
     ent_col: str | None = None,
     entity: int | None = None,
     where: Column | None = None,
-    rename: dict[str, str] | None = None,
 ) -> DataFrame:
     """Rows of a label table restricted to one language / tenant (conditions of the ON clause).
 
@@ -46,10 +45,7 @@ def labels(
     if where is not None:
         cond = cond & where
     cols = [label] if isinstance(label, str) else list(label)
-    out = df.filter(cond).select(key, *cols)
-    for old, new in (rename or {}).items():
-        out = out.withColumnRenamed(old, new)
-    return out
+    return df.filter(cond).select(key, *cols)
 
 
 def first_per_key(

@@ -15,6 +15,12 @@ from dataclasses import dataclass
 
 _ISO_DAY = re.compile(r"^\d{4}-\d{2}-\d{2}$")
 
+# Error texts that callers of the parameter contract see.
+MISSING_MONTH = "Missing month or year parameter"
+MISSING_DATES = "Missing startDate or endDate"
+BAD_DATE_FORMAT = "Invalid date format (YYYY-MM-DD only)"
+REVERSED_DATES = "startDate must be <= endDate"
+
 
 class ParameterError(ValueError):
     """A report parameter is missing or malformed."""
@@ -36,7 +42,7 @@ class MonthParam:
     @classmethod
     def parse(cls, month: object, year: object) -> "MonthParam":
         if month in (None, "") or year in (None, ""):
-            raise ParameterError("Missing month or year parameter")
+            raise ParameterError(MISSING_MONTH)
         try:
             return cls(int(str(year).strip()), int(str(month).strip()))
         except ValueError as exc:
@@ -64,14 +70,14 @@ class DateRange:
 
     def __post_init__(self) -> None:
         if self.start > self.end:
-            raise ParameterError("startDate must be <= endDate")
+            raise ParameterError(REVERSED_DATES)
 
     @classmethod
     def parse(cls, start: object, end: object) -> "DateRange":
         if not start or not end:
-            raise ParameterError("Missing startDate or endDate")
+            raise ParameterError(MISSING_DATES)
         if not _ISO_DAY.match(str(start)) or not _ISO_DAY.match(str(end)):
-            raise ParameterError("Invalid date format (YYYY-MM-DD only)")
+            raise ParameterError(BAD_DATE_FORMAT)
         try:
             first = dt.date.fromisoformat(str(start))
             last = dt.date.fromisoformat(str(end))

@@ -39,12 +39,11 @@ def report_misc_issue_lines(t: Mapping[str, DataFrame], period: MonthParam, enti
     reasons = labels(t["oocql_t"], "oocql002", ["oocqlent", "oocql004"], lang_col="oocql003", lang=lang,
                      where=F.col("oocql001") == REASON_CATEGORY)
 
-    labelled = (
-        head.join(staff, F.col("ooag001") == F.col("inba003"), "left")
-        .join(depts, F.col("ooefl001") == F.col("inba004"), "left")
-    )
+    # labels come after the lines, whose join reads its left side twice
     joined = (
-        left_join_lines(labelled, lines, ["inbaent", "inbadocno"], ["inbbent", "inbbdocno"])
+        left_join_lines(head, lines, ["inbaent", "inbadocno"], ["inbbent", "inbbdocno"])
+        .join(staff, F.col("ooag001") == F.col("inba003"), "left")
+        .join(depts, F.col("ooefl001") == F.col("inba004"), "left")
         .join(items, (F.col("imaal001") == F.col("inbb001")) & (F.col("imaalent") == F.col("inbbent")), "left")
         .join(reasons, (F.col("oocqlent") == F.col("inbbent")) & (F.col("oocql002") == F.col("inbb016")), "left")
         .withColumn("inba008", nvl("inba008", BLANK))

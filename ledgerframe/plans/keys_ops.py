@@ -40,10 +40,11 @@ from ..params import DateRange
 from ..sinks import relabel, rows_as_arrays, rows_as_objects
 from ..sources.demo import erp_tables
 from ..sources.loaders import read_driver_tables
-from .checks import FANOUT_LOOKUPS, fanout_report, missing_labels
+from .checks import FANOUT_LOOKUPS, fanout_filter, fanout_report, missing_labels
 from .costing import report_cost_ledger
 from .gl import GL_EXPORT_LABELS, account_titles, report_gl_expense_vouchers
-from .keys_reports import _UNIT_SQL, REPORT_DATES, REPORT_MONTH, _cost_ledger, _payables, _vouchers
+from .inventory import MISC_COLUMNS, report_misc_issue_lines
+from .keys_reports import _UNIT_SQL, REPORT_DATES, REPORT_MONTH, _cost_ledger, _misc_issues, _payables, _vouchers
 from .oracle import with_fixtures
 from .payables import AP_KIND_OTHER, AP_KINDS, report_ap_invoices
 from .registry import register
@@ -119,6 +120,18 @@ def rows_as_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows_as_arrays(report_cost_ledger(_erp(spark, sf_dir), MONTH))
 
 
+def _dated_array_sql() -> str:
+    shown = {"inba002": "strftime(inba002, '%Y-%m-%dT%H:%M:%S.%gZ')", "inbb012": _trim_num("inbb012")}
+    steps, body = _misc_issues(REPORT_MONTH)
+    return with_fixtures(f"SELECT CAST(json_array({', '.join(shown.get(c, c) for c in MISC_COLUMNS)}) AS VARCHAR) AS row FROM ({body})", steps)
+
+
+@register("rows_as_array_dated", _dated_array_sql())
+def rows_as_array_dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positional rows of a report that shows a raw date and time."""
+    return rows_as_arrays(report_misc_issue_lines(_erp(spark, sf_dir), MONTH, ordered=False))
+
+
 @register("rows_as_object", with_fixtures(f"""
 SELECT CAST(json_object('APCADOCNO', apcadocno, 'APCADOCDT', apcadocdt, 'BRANCH_NO', branch_no,
                         'APCA004', apca004, 'PMAAL004', pmaal004, 'APCB002', apcb002, 'APCB004', apcb004,
@@ -670,8 +683,9 @@ def concat_null_safe_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _fanout_sql() -> str:
     parts = []
-    for name, table, keys, where in FANOUT_LOOKUPS:
-        cond = f" WHERE {where}" if where else ""
+    for name, table, keys, where, tenant in FANOUT_LOOKUPS:
+        condition = fanout_filter(where, tenant)
+        cond = f" WHERE {condition}" if condition else ""
         parts.append(f"SELECT '{name}' AS lookup, concat_ws('|', {', '.join(keys)}) AS key, count(*) AS matches "
                      f"FROM {table}{cond} GROUP BY {', '.join(keys)} HAVING count(*) > 1")
     return with_fixtures("\nUNION ALL\n".join(parts))

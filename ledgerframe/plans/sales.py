@@ -231,8 +231,8 @@ def _tax_invoice(t: Mapping[str, DataFrame], dates: DateRange, entity: int, with
 
 
 def _invoice_order(df: DataFrame) -> DataFrame:
-    """ORDER BY invoice number; the other grouping columns break ties so the order is total."""
-    ties = ["isag017", "pmao010", "isag101", "isag004", "xmdl001", "unit", "xmda033", "isag103"]
+    """ORDER BY invoice number; all other columns break ties, so the order is total."""
+    ties = [c for c in df.columns if c != "isaf011"]
     return df.orderBy(*[F.col(c).asc_nulls_last() for c in ["isaf011", *ties]])
 
 

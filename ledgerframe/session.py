@@ -6,9 +6,6 @@ cluster; only the loopback binding is applied for ``local[...]`` masters.
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Settings every report relies on:
@@ -64,21 +61,3 @@ def build_session(
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
-
-    On a cluster the folder is configured by the operators and must be on shared storage; it
-    is only read here. A fallback (a fresh scratch folder) is set only when the session has
-    none, which happens in local tests.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        spark.sparkContext.setCheckpointDir(configured)
-        return configured
-    folder = fallback or tempfile.mkdtemp(prefix="ledgerframe-ckpt-")
-    os.makedirs(folder, exist_ok=True)
-    spark.conf.set("spark.checkpoint.dir", folder)
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder

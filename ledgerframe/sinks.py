@@ -10,17 +10,21 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType, TimestampType
 
 
-def _json_value(name: str):
+def _json_value(df: DataFrame, name: str):
     # A variant keeps each value's own JSON type (text, number, null) inside one array;
     # numbers print as the shortest decimal text (12.50 -> 12.5, 100.00 -> 100).
+    # A date and time is ISO text to the millisecond. It has no zone; it is written as if in UTC.
+    if isinstance(df.schema[name].dataType, (TimestampType, TimestampNTZType)):
+        return F.date_format(name, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").cast("variant")
     return F.col(name).cast("variant")
 
 
 def rows_as_arrays(df: DataFrame, alias: str = "row") -> DataFrame:
     """One JSON array per row, values in column order: ``["AP-1", 3, null, 12.5]``."""
-    return df.select(F.to_json(F.array(*[_json_value(c) for c in df.columns])).alias(alias))
+    return df.select(F.to_json(F.array(*[_json_value(df, c) for c in df.columns])).alias(alias))
 
 
 def rows_as_objects(df: DataFrame, upper_keys: bool = True, alias: str = "row") -> DataFrame:
@@ -29,7 +33,7 @@ def rows_as_objects(df: DataFrame, upper_keys: bool = True, alias: str = "row")
     The source database reports unquoted names in upper case, so keys are upper-cased here
     (and only here; DataFrame columns stay lower case).
     """
-    fields = [_json_value(c).alias(c.upper() if upper_keys else c) for c in df.columns]
+    fields = [_json_value(df, c).alias(c.upper() if upper_keys else c) for c in df.columns]
     return df.select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias(alias))
 
 

@@ -10,9 +10,9 @@ from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructType
 
-from .schemas import ERP_SCHEMAS
+from .schemas import CLUSTER_KEYS, DOCUMENT_DATES, ERP_SCHEMAS
 
 
 class Tables(Mapping[str, DataFrame]):
@@ -64,6 +64,21 @@ def read_erp_lake(spark: SparkSession, root: str, fmt: str = "parquet", normalis
     return Tables(list(ERP_SCHEMAS), build)
 
 
+def as_declared(df: DataFrame, name: str) -> DataFrame:
+    """The columns of ERP table ``name`` in any case or order, cast to their declared types.
+
+    Databases hand out numbers as wide decimals and dates as timestamps of the session zone;
+    reports compare an integer tenant and zone-free dates. A timestamp keeps the wall-clock time
+    that it shows in the session zone. Other columns are dropped, a missing one is an error.
+    """
+    found = {c.lower(): c for c in df.columns}
+    declared = StructType.fromDDL(ERP_SCHEMAS[name]).fields
+    missing = [f.name for f in declared if f.name not in found]
+    if missing:
+        raise ValueError(f"{name} lacks columns: {', '.join(missing)}")
+    return df.select(*[F.col(found[f.name]).cast(f.dataType).alias(f.name) for f in declared])
+
+
 def read_erp_jdbc(
     spark: SparkSession,
     url: str,
@@ -76,8 +91,9 @@ def read_erp_jdbc(
     Connection details come from the caller only. ``partitioning`` maps a table to
     ``(numeric column, lower bound, upper bound)`` for a parallel read; ``num_partitions``
     caps concurrent connections per table (the role the source service's pool of 2-10
-    connections played). Tables without partitioning are read by one task, so give it for
-    every large table.
+    connections played); set it to what the database allows, up to the cluster's cores. Documents
+    and lines grow, and one task can't read them: without ``partitioning`` they are refused. Label
+    tables are read by one task. Columns get their declared types (``as_declared``).
     """
     parts = dict(partitioning or {})
 
@@ -86,10 +102,12 @@ def read_erp_jdbc(
             column, lower, upper = parts[name]
             df = spark.read.jdbc(url, name, column=column, lowerBound=lower, upperBound=upper,
                                  numPartitions=num_partitions, properties=properties)
+        elif name in CLUSTER_KEYS or name in DOCUMENT_DATES:
+            raise ValueError(f"{name} grows with the business: give its partitioning (column, lower, upper)")
         else:
             df = spark.read.jdbc(url, name, properties=properties)
         # The source database stores empty text as NULL already: no normalisation needed.
-        return df.toDF(*[c.lower() for c in df.columns])
+        return as_declared(df, name)
 
     return Tables(list(ERP_SCHEMAS), build)
 
@@ -116,7 +134,7 @@ def write_erp_lake(tables: Mapping[str, DataFrame], root: str, names: list[str]
     document date within each file. Each table is one distributed write; a lost executor only
     re-runs its own tasks.
     """
-    from .schemas import CLUSTER_KEYS, DOC_MONTH, DOCUMENT_DATES, PERIOD_PARTITIONS
+    from .schemas import DOC_MONTH, PERIOD_PARTITIONS
 
     for name in names or list(tables):
         df = blanks_to_null(tables[name]) if normalise_blanks else tables[name]

@@ -8,7 +8,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from ledgerframe.session import build_session, ensure_checkpoint_dir  # noqa: E402
+from ledgerframe.session import build_session  # noqa: E402
 from ledgerframe.sources.loaders import Tables  # noqa: E402
 from ledgerframe.sources.schemas import ERP_SCHEMAS  # noqa: E402
 
@@ -20,7 +20,7 @@ SF_CHECK = "/root/testdata/sf0.01"
 def spark():
     s = build_session("local[4]", app_name="ledgerframe-tests", shuffle_partitions=4,
                       extra={"spark.sql.maxMetadataStringLength": "4000"})
-    ensure_checkpoint_dir(s, tempfile.mkdtemp(prefix="ledgerframe-test-ckpt-"))
+    s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerframe-test-ckpt-"))
     yield s
     s.stop()
 

@@ -177,3 +177,27 @@ def test_strict_entity_restricts_what_the_source_leaves_open(erp):
     r = DateRange(dt.date(1995, 3, 1), dt.date(1995, 3, 31))
     assert "IV00000009" in {x.isaf011 for x in report_tax_invoice(t2, r).collect()}
     assert "IV00000009" not in {x.isaf011 for x in report_tax_invoice(t2, r, strict_entity=True).collect()}
+
+
+def test_order_by_several_columns_puts_nulls_last(erp):
+    def head(doc, staff, dept, day):
+        return (666, doc, "1", T(1995, 3, day), staff, dept, None, "F")
+
+    t = erp(inba_t=[head("A", "b", None, 1), head("B", "a", "D2", 2), head("C", None, "D1", 3), head("D", "z", "D1", 4)])
+    assert [r.inbadocno for r in report_misc_issue_lines(t, MARCH).collect()] == ["D", "C", "B", "A"]  # O1
+
+
+def test_order_by_account_then_date_text(erp):
+    t = erp(
+        glap_t=[("GL-1", T(1995, 3, 31), "S"), ("GL-2", T(1995, 3, 5), "S"), ("GL-3", T(1995, 3, 1), "S")],
+        glaq_t=[(doc, "AF", acct, D("1.00"), D("0.00"), "1") for doc, acct in (("GL-1", "6100"), ("GL-2", "6100"), ("GL-3", "6200"))],
+        ooefl_t=[(666, "1", "en_US", "DEPT", "Dept/en")],
+    )
+    assert [r.glaqdocno for r in report_gl_expense_vouchers(t, MARCH).collect()] == ["GL-2", "GL-1", "GL-3"]  # O2
+
+
+def test_order_by_invoice_puts_nulls_last(erp):
+    head = [(666, f"IS-{i}", "C1", number, T(1995, 3, i), "TAX1", "Buyer", "USD", D("1.0000"), "Y")
+            for i, number in ((1, "IV2"), (2, None), (3, "IV1"))]
+    days = DateRange(dt.date(1995, 3, 1), dt.date(1995, 3, 31))
+    assert [r.isaf011 for r in report_tax_invoice(erp(isaf_t=head), days).collect()] == ["IV1", "IV2", None]  # O5

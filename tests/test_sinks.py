@@ -33,3 +33,9 @@ def test_row_count_observation(spark):
     df, obs = with_row_count(spark.range(7))
     df.write.format("noop").mode("overwrite").save()
     assert obs.get["rows"] == 7
+
+
+def test_dates_in_rows_are_iso_text(spark):
+    df = spark.sql("SELECT timestamp_ntz'1995-03-01 05:06:07.5' AS d, CAST(NULL AS timestamp_ntz) AS e")
+    assert rows_as_arrays(df).first().row == '["1995-03-01T05:06:07.500Z",null]'
+    assert rows_as_objects(df).first().row == '{"D":"1995-03-01T05:06:07.500Z","E":null}'
