@@ -3,10 +3,11 @@
 Base expressions find e-mail addresses, IP addresses, card and phone numbers. These seeds induce
 lexical patterns: the word before with the shape of the entity, the shape with the word after, and
 both words. Tokens with a digit or an @ that no base span covers are the instances that the
-patterns may vouch for. On the graph of patterns and instances scores go back and forth: a
-pattern's confidence is the share of its instances that are (likely) entities of a kind, an
-instance's score follows from its confident patterns. Instances with a high score, and values known
-as entities elsewhere, add spans.
+patterns may vouch for. An instance's score in a pattern is the share of entities of a kind among
+the pattern's other instances; those not accepted count against it. Its best pattern decides.
+Accepted instances are entities for the patterns of others, until no value is added. So an instance
+never speaks for itself, and the least score means the same share in a pattern of any size. Accepted
+instances, and values known as entities elsewhere, add spans.
 
 Defined results: null texts count as empty; repeated rows are judged each, from one graph; rows
 without a doc_id as well; no rows give no rows; texts are searched whole. Ties don't arise: spans
@@ -32,7 +33,6 @@ EXPRESSIONS = {
 #: A text without these can't hold the kind.
 NEEDS = {"email": "@", "ip": "[0-9]", "card": "[0-9]", "phone": "[+]"}
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
-ROUNDS = 3
 #: A pattern speaks from so many different seeds on; an instance is accepted from this score on.
 MIN_SEEDS, MIN_SCORE = 5, 0.9
 CONTEXT = 40
@@ -144,16 +144,19 @@ def discovered(found: DataFrame) -> DataFrame:
     patterns = F.array(p(F.lit("l"), "left", "shape"), p(F.lit("r"), "shape", "right"), p(F.lit("b"), "left", "right"))
     edges = stored(seen.select("value", F.explode(patterns).alias("pattern")).distinct(), "edges")
     known = edges.join(kinds, "value", "left")
-    support = known.groupBy("pattern").agg(F.count("kind").alias("seeds"), F.count("*").alias("n")).filter(f"seeds >= {MIN_SEEDS}").select("pattern", "n")
+    # a pattern of seeds alone has nobody to vouch for
+    support = known.groupBy("pattern").agg(F.count("kind").alias("seeds"), F.count("*").alias("n")).filter(f"seeds >= {MIN_SEEDS} AND n > seeds").select("pattern", "n")
     edges = stored(known.withColumnRenamed("kind", "seed").join(support, "pattern"), "edges")
-    scores = kinds.withColumn("score", F.lit(1.0))
-    for _ in range(ROUNDS):
-        confident = edges.select("pattern", "value", "n").join(scores, "value").groupBy("pattern", "kind").agg((F.sum("score") / (F.max("n") + 1)).alias("c"))
-        open_ = edges.filter("seed IS NULL").select("pattern", "value").join(confident, "pattern")
+    accepted = kinds
+    while True:
+        confident = edges.select("pattern", "value", "n").join(accepted, "value").groupBy("pattern", "kind").agg((F.count("*") / (F.max("n") - 1)).alias("c")).filter(F.col("c") >= MIN_SCORE)
+        open_ = edges.filter("seed IS NULL").select("pattern", "value").join(accepted, "value", "left_anti").join(confident, "pattern")
         # patterns of one value aren't independent: its best one speaks for it
-        new = open_.groupBy("value").agg(F.max(F.struct(F.col("c").alias("score"), "kind")).alias("b")).select("value", F.col("b.kind").alias("kind"), F.col("b.score").alias("score"))
-        scores = stored(kinds.withColumn("score", F.lit(1.0)).union(new), "scores")
-    return scores.filter(F.col("score") >= MIN_SCORE).select("value", "kind")
+        new = open_.groupBy("value").agg(F.max(F.struct("c", "kind")).alias("b")).select("value", F.col("b.kind").alias("kind"))
+        new = stored(new, "accepted")
+        if new.isEmpty():
+            return accepted
+        accepted = accepted.union(new)
 
 
 def _order(kind: Column) -> Column:

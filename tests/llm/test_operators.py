@@ -196,6 +196,33 @@ def test_pii_base_and_discovery(spark):
     assert pii.redact(docs).filter("doc_id = 1").first()["text"] == "he said server [IP] works. Card [CARD] here"
 
 
+@pytest.mark.parametrize("size", [6, 100])
+def test_pii_scores_mean_the_same_at_each_size(spark, size):
+    rng = random.Random(size)
+
+    def card(valid: bool) -> str:
+        digits = [4, *(rng.randrange(10) for _ in range(14))]
+        doubled = sum(d if i % 2 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits))
+        return "".join(map(str, digits)) + str((-doubled + (0 if valid else 5)) % 10)
+
+    texts = [f"Card {card(True)} thanks" for _ in range(size)] + [f"Card {card(False)} thanks"]
+    texts += [f"Number {card(k >= 0.4 * size)} issued" for k in range(size)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.op4_pii(docs).collect()}
+    assert all(got[i] == "card:5:21" for i in range(size + 1))  # the last is vouched for
+    assert all(got[i] == ("card:7:23" if i - size - 1 >= 0.4 * size else "") for i in range(size + 1, 2 * size + 1))
+
+
+def test_pii_goes_on_until_no_value_is_added(spark):
+    # 9.9.9.300 and more are no addresses; each context has enough known ones once the one before it is settled
+    bad = [4, 10, 15, 21, 28, 35]
+    texts = [f"c{step} 9.9.9.{k} x{step}" for step, n in enumerate(bad) for k in (*range(100, 145), *range(300, 300 + n))]
+    texts += [f"mixed 9.9.9.{k} y" for k in (*range(100, 145), *range(400, 440))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["value"] for r in pii.discovered(pii.base_spans(docs)).collect()}
+    assert got == {f"9.9.9.{k}" for k in (*range(100, 145), *range(300, 335))}
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rng = random.Random(9)
