@@ -6,7 +6,8 @@ Dealing out: every window of ``width`` bytes belongs to its least gram (by hash,
 Windows of one gram that follow each other are one stretch of text, so a window is in one stretch
 only, and equal windows are in stretches with the same gram. Stretches that are wholly equal are
 counted; one copy of each different stretch of a gram that has several goes to the transform.
-Grams with very many different stretches are dealt out once more by the next least gram.
+Grams with very many different stretches would be too much for one transform: the windows of these
+stretches are counted by a hash of 128 bits, and those that are there more than once are repeated.
 
 Threshold-bounded interval expansion: over a batch of stretches, suffixes are sorted, and starting
 from the empty string, intervals of the transform are extended backwards, breadth first. Extending an
@@ -35,7 +36,7 @@ from ledgerframe.llm.common import forget, stored, workers_import
 WIDTH = 200
 #: Bytes of a gram: 32 + 16.
 GRAM = 48
-#: A gram with more different stretches is dealt out again.
+#: The windows of a gram with more different stretches are counted one by one.
 HOT = 2_000
 #: Bytes of text that one transform is made for, about.
 BATCH = 1 << 20
@@ -89,14 +90,10 @@ def stretches(raw: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.n
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def split_again(raw: np.ndarray, gram: int, width: int) -> list[tuple[int, int, int]]:
-    """(offset, length, key) of the parts of a stretch by its next least gram."""
-    hashes = gram_hashes(raw)
-    others = np.where(hashes.view(np.int64) == gram, np.uint64((1 << 64) - 1), hashes)
-    least = least_grams(others, width)
-    cuts = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-    ends = np.r_[cuts[1:], len(least)]
-    return [(int(a), int(b - a + width - 1), int(k)) for a, b, k in zip(cuts, ends, others[least[cuts]].view(np.int64), strict=True)]
+def window_hashes(raw: bytes, width: int) -> np.ndarray:
+    """Two halves of a hash of each window, a row each."""
+    digests = b"".join(xxhash.xxh3_128_digest(raw[a : a + width]) for a in range(len(raw) - width + 1))
+    return np.frombuffer(digests, np.int64).reshape(-1, 2)
 
 
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
@@ -168,8 +165,8 @@ def covered(flags: np.ndarray, width: int) -> list[tuple[int, int]]:
 
 
 _OCCURRENCES = "rid long, start int, length int, gram long, body long"
-_PARTS = "gram long, body long, offset int, bucket long, part binary"
-_COVERS = "gram long, body long, offset int, runs array<struct<start:int,end:int>>"
+_PARTS = "gram long, body long, bucket long, part binary"
+_COVERS = "gram long, body long, runs array<struct<start:int,end:int>>, high array<long>, low array<long>"
 
 
 def removed_runs(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -202,31 +199,46 @@ def removed_runs(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     by_text = wanted.groupBy("rid").agg(F.collect_list(F.struct("start", "length", "gram", "body", "hot")).alias("wanted"))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("gram", pa.int64()), ("body", pa.int64()), ("offset", pa.int32()), ("bucket", pa.int64()), ("part", pa.binary())])
+        schema = pa.schema([("gram", pa.int64()), ("body", pa.int64()), ("bucket", pa.int64()), ("part", pa.binary())])
         for batch in batches:
             out = []
             for text, asked in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
                 data = text.encode()
                 for x in asked:
-                    part = data[x["start"] : x["start"] + x["length"]]
-                    parts = split_again(np.frombuffer(part, np.uint8), x["gram"], width) if x["hot"] else [(0, len(part), x["gram"])]
-                    out += [{"gram": x["gram"], "body": x["body"], "offset": a, "bucket": k % buckets, "part": part[a : a + n]} for a, n, k in parts]
+                    # hot stretches lie in buckets of their own, where it doesn't matter which are together
+                    bucket = buckets + x["body"] % buckets if x["hot"] else x["gram"] % buckets
+                    out.append({"gram": x["gram"], "body": x["body"], "bucket": bucket, "part": data[x["start"] : x["start"] + x["length"]]})
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema)
 
     texts = docs.select("rid", "text").join(by_text, "rid").dropDuplicates(["rid"])
     parts = texts.mapInArrow(take, _PARTS)
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def expand(table: pa.Table) -> pa.Table:
         raw = table.column("part").to_pylist()
-        flags, starts = common_at_least(raw, width)
-        runs = [[{"start": a, "end": b} for a, b in covered(flags[s : s + len(t) - width + 1], width)] for s, t in zip(starts.tolist(), raw, strict=True)]
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        return pa.table({"gram": table.column("gram"), "body": table.column("body"), "offset": table.column("offset"), "runs": pa.array(runs, kind)})
+        runs, high, low = ([None] * len(raw) for _ in range(3))
+        if table.column("bucket")[0].as_py() >= buckets:
+            hashes = [window_hashes(t, width) for t in raw]
+            high, low = [h[:, 0] for h in hashes], [h[:, 1] for h in hashes]
+        else:
+            flags, starts = common_at_least(raw, width)
+            runs = [[{"start": a, "end": b} for a, b in covered(flags[s : s + len(t) - width + 1], width)] for s, t in zip(starts.tolist(), raw, strict=True)]
+        longs = pa.list_(pa.int64())
+        return pa.table({"gram": table.column("gram"), "body": table.column("body"), "runs": pa.array(runs, kind), "high": pa.array(high, longs), "low": pa.array(low, longs)})
 
-    covers = parts.groupBy("bucket").applyInArrow(expand, _COVERS).filter("size(runs) > 0")
-    covers = covers.select("gram", "body", "offset", F.explode("runs").alias("r"))
-    covers = stored(covers.select("gram", "body", (F.col("offset") + F.col("r.start")).alias("from"), (F.col("offset") + F.col("r.end")).alias("to")), "covers")
+    def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs = [[{"start": a, "end": b} for a, b in covered(np.bincount(at) > 0, width)] for at in batch.column("at").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("gram"), batch.column("body"), pa.array(runs, kind)], names=["gram", "body", "runs"])
+
+    expanded = stored(parts.groupBy("bucket").applyInArrow(expand, _COVERS).filter("size(runs) > 0 OR high IS NOT NULL"), "expanded")
+    windows = expanded.filter("high IS NOT NULL").select("gram", "body", F.posexplode(F.arrays_zip("high", "low"))).select("gram", "body", F.col("pos").alias("at"), "col.high", "col.low")
+    # equal windows have the same gram, so these are all of them; counts are combined before they are shuffled
+    again = stored(windows.groupBy("high", "low").agg(F.count("*").alias("k")).filter("k > 1").select("high", "low"), "again")
+    counted = windows.join(again, ["high", "low"], "left_semi").groupBy("gram", "body").agg(F.collect_list("at").alias("at")).mapInArrow(join_up, "gram long, body long, runs array<struct<start:int,end:int>>")
+    covers = expanded.filter("runs IS NOT NULL").select("gram", "body", "runs").union(counted).select("gram", "body", F.explode("runs").alias("r"))
+    covers = stored(covers.select("gram", "body", F.col("r.start").alias("from"), F.col("r.end").alias("to")), "covers")
     whole = multi.join(bodies.filter("k > 1").select("gram", "body"), ["gram", "body"], "left_semi").select("rid", F.col("start").alias("from"), (F.col("start") + F.col("length")).alias("to"))
     partly = multi.join(covers, ["gram", "body"]).select("rid", (F.col("start") + F.col("from")).alias("from"), (F.col("start") + F.col("to")).alias("to"))
     runs = whole.union(partly).groupBy("rid").agg(F.sort_array(F.collect_set(F.struct(F.col("from").alias("start"), F.col("to").alias("end")))).alias("runs"))

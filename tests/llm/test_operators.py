@@ -126,6 +126,33 @@ def test_hot_grams_are_dealt_again(spark, monkeypatch):
     test_suffix_dedup(spark)
 
 
+def test_a_hot_passage_is_dealt_over_many_groups(spark, monkeypatch, tmp_path):
+    rng = random.Random(6)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(400))
+    around = ["".join(rng.choice("stuvwxyz") for _ in range(200)) for _ in range(600)]
+    rows = [(i, a[:100] + passage + a[100:]) for i, a in enumerate(around)]
+    rows += [(600 + i, a[:90] + passage[::-1] + a[:9]) for i, a in enumerate(around[:3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sizes, plain = str(tmp_path / "sizes"), suffix_dedup.common_at_least
+
+    def noted(texts, width):
+        with open(sizes, "a") as f:
+            f.write(f"{sum(map(len, texts))}\n")
+        return plain(texts, width)
+
+    monkeypatch.setattr(suffix_dedup, "HOT", 20)
+    monkeypatch.setattr(suffix_dedup, "BATCH", 1 << 13)
+    monkeypatch.setattr(suffix_dedup, "common_at_least", noted)
+    got = {r["doc_id"]: r for r in suffix_dedup.op3_suffix_dedup(docs).collect()}
+    data = [t.encode() for _, t in rows]
+    seen = collections.Counter(d[i : i + 200] for d in data for i in range(len(d) - 199))
+    for (i, _), d in zip(rows, data, strict=True):
+        gone = {k for p in range(len(d) - 199) if seen[d[p : p + 200]] > 1 for k in range(p, p + 200)}
+        assert (got[i]["n_removed"], got[i]["kept_sha256"]) == (len(gone), hashlib.sha256(bytes(c for k, c in enumerate(d) if k not in gone)).hexdigest())
+    with open(sizes) as f:
+        assert max(map(int, f)) <= 8 * suffix_dedup.BATCH
+
+
 def test_token_counts(docs, texts):
     with open(VOCABULARY, encoding="utf-8") as f:
         vocabulary = set(token_counts.vocabulary_of(f.read()))
