@@ -2,7 +2,8 @@
 
 Texts and benchmark items are lower-cased (A-Z) words. A training document is contaminated by an
 item if WINDOW words of both, side by side, differ in at most SUBSTITUTIONS places (similarity 0.8
-or more); an item of fewer words is looked for as a whole, with one word different at most.
+or more); an item of fewer words is looked for as a whole, with one word different at most. Words
+that a window has beyond either end of the document count as different.
 Each mask selects six of up to eleven words and ignores those between. Whatever places two
 substitutions take in a window, one mask fits between them (the tests try all), so a hash of the
 selected words is the same on both sides: hashes join, and what stands around a hit is verified.
@@ -57,7 +58,9 @@ def _fitting(w: Column, mask: Mask, known: Column) -> Column:
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, item_id, start, words): verified overlaps; start counts the document's words from 0."""
+    """(doc_id, item_id, start, words): verified overlaps; start counts the document's words from 0.
+
+    A window that hangs over the start is given as from 0; ``words`` counts those of the item."""
     items = benchmark.select("item_id", words(lower_ascii(F.col("text"))).alias("iw")).filter(F.size("iw") >= MIN_WORDS)
     items = items.withColumn("n", F.size("iw"))
     lengths = sorted(r[0] for r in items.filter(F.col("n") < WINDOW).select("n").distinct().collect())  # WINDOW values at most
@@ -87,7 +90,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
     first = F.filter(F.sequence(F.lit(0), F.greatest(F.size("equal") - F.col("length"), F.lit(0))), lambda k: F.aggregate(F.slice("equal", k + 1, F.col("length")), F.lit(0), lambda a, b: a + b) >= least)
     windows = F.transform(first, lambda k: k + F.col("low"))
     good = found.select("doc_id", "item_id", "length", "shift", F.explode_outer(windows).alias("at")).filter("at IS NOT NULL")
-    return good.select("doc_id", "item_id", (F.col("shift") + F.col("at")).cast("long").alias("start"), F.col("length").cast("long").alias("words")).filter("start >= 0").distinct()
+    return good.select("doc_id", "item_id", F.greatest(F.col("shift") + F.col("at"), F.lit(0)).cast("long").alias("start"), F.col("length").cast("long").alias("words")).distinct()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

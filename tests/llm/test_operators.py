@@ -105,6 +105,28 @@ def test_decontamination(spark):
     assert decontamination.contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_at_both_ends(spark):
+    rng = random.Random(8)
+    items = {1: some_words(rng, 30, 10**6), 2: some_words(rng, 13, 10**6), 3: some_words(rng, 7, 10**6), 4: some_words(rng, 5, 10**6), 5: some_words(rng, 12, 10**6)}
+    pad = some_words(rng, 30, 10**6)
+    texts = [t for w in items.values() for k in range(1, len(w) + 1) for t in (w[-k:] + pad, pad + w[:k], w[-k:], w[:k])]
+    for k in (11, 12):  # one word different as well
+        texts += [[*items[1][-k:-4], "p", *items[1][-3:], *pad], [*pad, *items[1][: k - 4], "p", *items[1][k - 3 : k]]]
+
+    def places(w, item):
+        size = min(len(item), 13)
+        least = 11 if size == 13 else size - 1
+        for at in range(1 - size, len(w)):
+            for k in range(len(item) - size + 1):
+                if sum(0 <= at + j < len(w) and w[at + j] == item[k + j] for j in range(size)) >= least:
+                    yield max(at, 0), size
+
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(texts)], "doc_id long, text string")
+    expected = {(d, i, at, n) for d, w in enumerate(texts) for i, item in items.items() for at, n in places(w, item)}
+    assert {tuple(r) for r in decontamination.overlaps(docs, bench).collect()} == expected
+
+
 def test_suffix_dedup(spark):
     rng = random.Random(4)
     body = "".join(rng.choice("abcdé ") for _ in range(400))
