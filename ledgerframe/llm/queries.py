@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerframe.llm import bpe, chat, decision_list, decontamination, pii, rule_ensemble, set_join, suffix_dedup, token_counts, url_filters
+from ledgerframe.llm import bpe, chat, decision_list, decontamination, hard_negatives, merkle, pii, rule_ensemble, set_join, sharding, suffix_dedup, token_counts, url_filters
 from ledgerframe.llm.common import read_table
 
 #: Where the public tokenizer files lie; the package of that name is on every worker.
@@ -54,6 +54,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op10_bpe_round_trip(read_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.op11_hard_negatives(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.op12_sharding(read_table(spark, sf_dir, "documents"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.op13_merkle(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_decontamination": op2_decontamination,
@@ -65,6 +77,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
     "op10_bpe": op10_bpe,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_sharding": op12_sharding,
+    "op13_merkle": op13_merkle,
 }
 
-ORACLE: dict[str, str] = {"op2_decontamination": decontamination.SQL}
+ORACLE: dict[str, str] = {
+    "op2_decontamination": decontamination.SQL,
+    "op11_hard_negatives": hard_negatives.SQL,
+    "op13_merkle": merkle.SQL,
+}
