@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..params import DateRange, MonthParam
+from ..sources.schemas import SEVERAL_MONTHS
 from .compat import ColumnOrName, _col
 
 # Fixed value: the tenant every report reads.
@@ -71,6 +72,20 @@ def on_month(df: DataFrame, c: str, period: MonthParam, closed: bool = False,
     return out
 
 
+def lines_in(df: DataFrame, first: dt.date, last: dt.date, month_column: str = "doc_month") -> DataFrame:
+    """Lines of documents dated from ``first`` to ``last``, without the partition column.
+
+    A partitioned lake stores a line under the month of its header (see ``write_erp_lake``), so only
+    the folders of those months are read, and the one for lines whose headers have several months.
+    These are more lines than the period's, never fewer: join them to the dated headers. Tables
+    without the column stay as they are.
+    """
+    if month_column not in df.columns:
+        return df
+    month = F.col(month_column)
+    return df.filter(month.between(_yyyymm(first), _yyyymm(last)) | (month == SEVERAL_MONTHS)).drop(month_column)
+
+
 def starts_with_any(c: ColumnOrName, prefixes: Sequence[str]) -> Column:
     """``c LIKE 'p1%' OR c LIKE 'p2%' ...``."""
     s = _col(c)

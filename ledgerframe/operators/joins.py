@@ -8,7 +8,10 @@
   lookup before its window or aggregate; otherwise they form one hot partition.
 * ``left_join_lines``: header LEFT JOIN lines, written so that one document holding a large
   share of all lines is still split across tasks (AQE splits a skewed partition only on the
-  left side of a left outer join, but on either side of an inner join).
+  left side of a left outer join, but on either side of an inner join). It is lazy and reads the
+  lines twice.
+* ``lines_of_headers``: the same rows with the lines read once: the inner join is written to the
+  shared folder, and what has no lines, like every key that lookups are cut down to, comes from there.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .steps import written_once
+
 
 def only_keys(df: DataFrame, cols: Sequence[str], keys: DataFrame, key_cols: Sequence[str]) -> DataFrame:
     """Rows of ``df`` whose ``cols`` appear as ``key_cols`` in ``keys`` (a left-semi join).
@@ -37,7 +42,6 @@ def drop_null_keys(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.filter(cond)
 
 
-
 def left_join_lines(head: DataFrame, lines: DataFrame, head_keys: Sequence[str],
                     line_keys: Sequence[str]) -> DataFrame:
     """``head LEFT JOIN lines ON head_keys = line_keys`` as inner join plus unmatched headers.
@@ -56,3 +60,24 @@ def left_join_lines(head: DataFrame, lines: DataFrame, head_keys: Sequence[str],
     unmatched = head.join(keys, anti, "left_anti").select(
         *head.columns, *[F.lit(None).cast(f.dataType).alias(f.name) for f in lines.schema.fields])
     return matched.unionByName(unmatched)
+
+
+def matched_lines(head: DataFrame, lines: DataFrame, head_keys: Sequence[str], line_keys: Sequence[str]) -> DataFrame:
+    """The inner join of ``lines_of_headers``: a small header side is broadcast, a hot document
+    is split on either side, and lines outside the headers never leave the map side."""
+    return head.join(lines, [head[h] == lines[k] for h, k in zip(head_keys, line_keys)], "inner")
+
+
+def lines_of_headers(head: DataFrame, lines: DataFrame, head_keys: Sequence[str], line_keys: Sequence[str],
+                     name: str = "lines") -> DataFrame:
+    """``head LEFT JOIN lines`` with one scan of the lines, as rows read back from the shared folder.
+
+    The matched rows are written once (only the columns that ``head`` and ``lines`` bring, so
+    select what the report needs first); headers without lines, NULL keys included, are those
+    whose key is not among them.
+    """
+    matched = written_once(matched_lines(head, lines, head_keys, line_keys), name)
+    keys = matched.select(*[F.col(h).alias(f"__k{i}") for i, h in enumerate(head_keys)]).distinct()
+    bare = head.join(keys, [head[h] == keys[f"__k{i}"] for i, h in enumerate(head_keys)], "left_anti")
+    bare = bare.select(*head.columns, *[F.lit(None).cast(f.dataType).alias(f.name) for f in lines.schema.fields])
+    return matched.unionByName(bare)

@@ -3,7 +3,7 @@
 
 R4 and R5 group issue-cost lines by their own columns and take ``MAX`` of every looked-up
 label. Each lookup is keyed on a grouping column, so ``MAX`` over the fanned-out join equals
-the per-key ``MAX`` of the lookup: the plan forms the distinct groups once and left-joins
+the per-key ``MAX`` of the lookup: the distinct groups are formed once, written, and left-joined to
 lookups that were reduced to one row per key (and, for the large ones, to the keys of the
 month) before any join. No row is multiplied, whatever the lookups' duplication.
 """
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.predicates import DEFAULT_ENTITY, starts_with_any, tenant_rows
 from ..operators.joins import drop_null_keys, only_keys
 from ..operators.lookups import first_per_key, max_per_key
+from ..operators.steps import written_once
 from ..params import MonthParam
 
 # Issue document prefixes per report, the note program tag.
@@ -69,7 +70,8 @@ def _issue_cost(t: Mapping[str, DataFrame], period: MonthParam, table: str, pref
     keys = [col["001"], col["002"], col["004"]]
     keys += [col["101"], col["110"]] if by_account else [col["110"], col["108"]]
     keys += [col["201"], col["202"]]
-    groups = lines.select(*keys).distinct()
+    # written once: the lookups below take their keys from it, and the lines are read once
+    groups = written_once(lines.select(*keys).distinct(), "issue-groups")
     issue_docs = groups.select(col["001"])
 
     items = max_per_key(own("imaal_t", "imaalent"), ["imaal001"], ["imaal003", "imaal004"])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.compat import date_text, normalised_key
-from ..functions.predicates import DEFAULT_ENTITY, not_contains_or_null, on_month, starts_with_any, tenant_rows
+from ..functions.predicates import DEFAULT_ENTITY, lines_in, not_contains_or_null, on_month, starts_with_any, tenant_rows
 from ..operators.joins import drop_null_keys, only_keys
 from ..operators.lookups import first_per_key
 from ..params import MonthParam
@@ -47,7 +47,7 @@ def report_gl_expense_vouchers(t: Mapping[str, DataFrame], period: MonthParam, l
     ``strict_entity`` restricts department labels and payables to ``entity`` (the source does not).
     """
     vouchers = on_month(t["glap_t"], "glapdocdt", period).filter(F.col("glapstus") == POSTED)
-    lines = t["glaq_t"].filter(starts_with_any("glaq002", EXPENSE_PREFIXES))
+    lines = lines_in(t["glaq_t"], period.first_day, period.last_day).filter(starts_with_any("glaq002", EXPENSE_PREFIXES))
     month_docs = vouchers.select("glapdocno")
 
     apca = tenant_rows(t["apca_t"], "apcaent", entity, strict_entity)

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.compat import nvl
-from ..functions.predicates import DEFAULT_ENTITY, not_in, on_month
-from ..operators.joins import left_join_lines, only_keys
+from ..functions.predicates import DEFAULT_ENTITY, lines_in, not_in, on_month
+from ..operators.joins import lines_of_headers
 from ..operators.lookups import labels
 from ..params import MonthParam
 
@@ -31,17 +31,16 @@ def report_misc_issue_lines(t: Mapping[str, DataFrame], period: MonthParam, enti
     (a NULL status drops too), with staff, department, item and reason labels."""
     head = on_month(t["inba_t"], "inba002", period, closed=True).filter(
         (F.col("inbaent") == entity) & not_in("inbastus", [VOID_STATUS]) & (F.col("inba001") == ISSUE_KIND)
-    )
+    ).select("inbaent", "inbadocno", "inba002", "inba003", "inba004", "inba008", "inbastus")
     staff = labels(t["ooag_t"], "ooag001", ["ooag011", "ooag003"], ent_col="ooagent", entity=entity)
     depts = labels(t["ooefl_t"], "ooefl001", "ooefl003", lang_col="ooefl002", ent_col="ooeflent", entity=entity)
-    lines = only_keys(t["inbb_t"], ["inbbent", "inbbdocno"], head, ["inbaent", "inbadocno"])
+    lines = lines_in(t["inbb_t"], period.first_day, period.last_day)
     items = labels(t["imaal_t"], "imaal001", ["imaalent", "imaal003", "imaal004"], lang_col="imaal002", lang=lang)
     reasons = labels(t["oocql_t"], "oocql002", ["oocqlent", "oocql004"], lang_col="oocql003", lang=lang,
                      where=F.col("oocql001") == REASON_CATEGORY)
 
-    # labels come after the lines, whose join reads its left side twice
     joined = (
-        left_join_lines(head, lines, ["inbaent", "inbadocno"], ["inbbent", "inbbdocno"])
+        lines_of_headers(head, lines, ["inbaent", "inbadocno"], ["inbbent", "inbbdocno"], "issues")
         .join(staff, F.col("ooag001") == F.col("inba003"), "left")
         .join(depts, F.col("ooefl001") == F.col("inba004"), "left")
         .join(items, (F.col("imaal001") == F.col("inbb001")) & (F.col("imaalent") == F.col("inbbent")), "left")

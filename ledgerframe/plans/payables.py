@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.compat import date_text, decode
-from ..functions.predicates import DEFAULT_ENTITY, equals_optional, on_days
-from ..operators.joins import left_join_lines
+from ..functions.predicates import DEFAULT_ENTITY, equals_optional, lines_in, on_days
+from ..operators.joins import lines_of_headers
 from ..operators.lookups import labels
 from ..params import DateRange
 
@@ -44,12 +44,12 @@ def report_ap_invoices(
     stay two rows. The sort is on the date *text* (day first), then document number (O3).
     """
     head = on_days(t["apca_t"], "apcadocdt", dates).filter((F.col("apcaent") == entity) & (F.col("apcastus") == "Y"))
-    head = equals_optional(head, "apca004", supplier)
-    lines = t["apcb_t"].filter(F.col("apcbent") == entity)
+    head = equals_optional(head, "apca004", supplier).select("apcadocno", "apcadocdt", "apca001", "apca004", "apca053")
+    lines = lines_in(t["apcb_t"], dates.start, dates.end).filter(F.col("apcbent") == entity).drop("apcbent")
     names = labels(t["pmaal_t"], "pmaal001", "pmaal004", lang_col="pmaal002", ent_col="pmaalent", entity=entity)
 
     joined = (
-        left_join_lines(head, lines, ["apcadocno"], ["apcbdocno"])
+        lines_of_headers(head, lines, ["apcadocno"], ["apcbdocno"], "payables")
         .join(names, F.col("apca004") == F.col("pmaal001"), "left")
         .withColumn("branch_no", decode("apca001", AP_KINDS, AP_KIND_OTHER))
     )

@@ -19,8 +19,8 @@ from ..functions.compat import (
     last_chars,
     per_thousand,
 )
-from ..functions.predicates import DEFAULT_ENTITY, on_days, tenant_rows
-from ..operators.joins import drop_null_keys, left_join_lines, only_keys
+from ..functions.predicates import DEFAULT_ENTITY, lines_in, on_days, tenant_rows
+from ..operators.joins import drop_null_keys, lines_of_headers, only_keys
 from ..operators.lookups import distinct_list, first_per_key, labels, max_per_key, ordered_list
 from ..params import DateRange
 
@@ -48,6 +48,11 @@ FULFILMENT_COLUMNS = [
 ]
 
 
+NOTICE_COLUMNS = ["xmdgdocno", "xmdgdocdt", "xmdg002", "xmdg003", "xmdg005", "xmdg008", "xmdg009", "xmdg017",
+                  "xmdg028", "xmdgstus"]
+INVOICE_COLUMNS = ["isafdocno", "isaf002", "isaf011", "isaf014", "isaf021", "isaf022", "isaf100", "isaf101"]
+
+
 def shipment_lookups(t: Mapping[str, DataFrame], entity: int = DEFAULT_ENTITY,
                      strict_entity: bool = False, keys: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Per (notice, order) key: the first shipment, and the sorted distinct invoice-line
@@ -81,11 +86,12 @@ def report_order_fulfilment(t: Mapping[str, DataFrame], dates: DateRange, entity
     ``xmdg028`` falls in ``dates``: order, item, unit from the packing text, first shipment,
     invoice lists, customer and code labels. Label lookups that are not collapsed fan out
     as in the source report (T3). Sorted by the raw document date (O4)."""
-    head = on_days(t["xmdg_t"], "xmdg028", dates).filter(F.col("xmdgent") == entity)
-    lines = t["xmdh_t"].filter(F.col("xmdhent") == entity).drop("xmdhent")
-    # (notice, order) pairs the notices in range can reach: the shipment and order lookups are
-    # cut down to them before they are joined or aggregated, whatever the length of the range.
-    reach = head.join(lines, F.col("xmdgdocno") == F.col("xmdhdocno")).select("xmdgdocno", "xmdh001")
+    head = on_days(t["xmdg_t"], "xmdg028", dates).filter(F.col("xmdgent") == entity).select(*NOTICE_COLUMNS)
+    lines = lines_in(t["xmdh_t"], dates.start, dates.end).filter(F.col("xmdhent") == entity).drop("xmdhent")
+    rows = lines_of_headers(head, lines, ["xmdgdocno"], ["xmdhdocno"], "notices")
+    # (notice, order) pairs of the rows: the shipment and order lookups are cut down to them
+    # before they are joined or aggregated, whatever the length of the range.
+    reach = rows.select("xmdgdocno", "xmdh001").dropna()
     orders = max_per_key(only_keys(t["xmda_t"], ["xmdadocno"], reach, ["xmdh001"]), ["xmdadocno"], ["xmda033"])
     contacts = labels(t["oofa_t"], "oofa003", "oofa011", ent_col="oofaent", entity=entity)
     depts = labels(t["ooefl_t"], "ooefl001", "ooefl003", lang_col="ooefl002", ent_col="ooeflent", entity=entity)
@@ -103,8 +109,7 @@ def report_order_fulfilment(t: Mapping[str, DataFrame], dates: DateRange, entity
                         ["oocql002"], ["oocql004"])
 
     j = (
-        left_join_lines(head, lines, ["xmdgdocno"], ["xmdhdocno"])
-        .join(first_ship, (F.col("xmdgdocno") == F.col("xmdk005")) & (F.col("xmdh001") == F.col("xmdk006")), "left")
+        rows.join(first_ship, (F.col("xmdgdocno") == F.col("xmdk005")) & (F.col("xmdh001") == F.col("xmdk006")), "left")
         .drop("xmdk005", "xmdk006")
         .join(lists, (F.col("xmdgdocno") == F.col("xmdk005")) & (F.col("xmdh001") == F.col("xmdk006")), "left")
         .join(orders, F.col("xmdh001") == F.col("xmdadocno"), "left")
@@ -182,22 +187,21 @@ def shipment_chain(t: Mapping[str, DataFrame], entity: int, keys: DataFrame | No
 def _tax_invoice(t: Mapping[str, DataFrame], dates: DateRange, entity: int, with_currency: bool,
                  strict_entity: bool = False) -> DataFrame:
     head = tenant_rows(t["isaf_t"], "isafent", entity, strict_entity)
-    head = on_days(head, "isaf014", dates).filter(F.col("isafstus") == CONFIRMED)
-    lines = t["isag_t"].filter(F.col("isagent") == entity)
+    head = on_days(head, "isaf014", dates).filter(F.col("isafstus") == CONFIRMED).select(*INVOICE_COLUMNS)
+    lines = lines_in(t["isag_t"], dates.start, dates.end).filter(F.col("isagent") == entity).drop("isagent")
+    rows = lines_of_headers(head, lines, ["isafdocno"], ["isagdocno"], "invoices")
     partners = labels(t["pmaa_t"], "pmaa001", "pmaa006", ent_col="pmaaent", entity=entity)
     parts = labels(t["pmao_t"], "pmao002", ["pmao001", "pmao004", "pmao010"], ent_col="pmaoent", entity=entity)
     xrce = drop_null_keys(t["xrce_t"], ["xrce054"])
-    settle = settlement_lists(only_keys(xrce, ["xrce054"], head, ["isaf011"]))
+    settle = settlement_lists(only_keys(xrce, ["xrce054"], rows, ["isaf011"]))
 
     j = (
-        left_join_lines(head, lines, ["isafdocno"], ["isagdocno"])
-        .join(partners, F.col("isaf002") == F.col("pmaa001"), "left")
+        rows.join(partners, F.col("isaf002") == F.col("pmaa001"), "left")
         .join(settle, F.col("xrce054") == F.col("isaf011"), "left")
         .join(parts, (F.col("pmao002") == F.col("isag009")) & (F.col("pmao001") == F.col("isaf002"))
               & (F.col("pmao004") == F.col("isag016")), "left")
     )
-    reached = head.join(lines, F.col("isafdocno") == F.col("isagdocno")).select("isag002", "isag019")
-    chain = shipment_chain(t, entity, reached)
+    chain = shipment_chain(t, entity, rows.select("isag002", "isag019").dropna())
     j = (
         j.join(chain, (F.col("isag002") == F.col("xmdldocno")) & (F.col("isag019") == F.col("xmdl003")), "left")
         .withColumn("w", F.coalesce(F.col("w"), F.lit(1)))

@@ -12,7 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
-from .schemas import CLUSTER_KEYS, DOCUMENT_DATES, ERP_SCHEMAS
+from .schemas import (
+    CLUSTER_KEYS,
+    DOC_MONTH,
+    DOCUMENT_DATES,
+    ERP_SCHEMAS,
+    LINE_HEADERS,
+    NO_MONTH,
+    PERIOD_PARTITIONS,
+    SEVERAL_MONTHS,
+)
 
 
 class Tables(Mapping[str, DataFrame]):
@@ -121,6 +130,24 @@ def read_driver_tables(spark: SparkSession, sf_dir: str) -> Tables:
     return Tables(DRIVER_TABLES, lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
+def with_header_month(lines: DataFrame, name: str, tables: Mapping[str, DataFrame]) -> DataFrame:
+    """``lines`` with ``doc_month``, the month of the header that bears their document number.
+
+    A number whose headers have different months gets SEVERAL_MONTHS, one without a dated header
+    (or NULL) gets NO_MONTH: no dated header can match such a line. Headers are reduced to one row a
+    number first, so lines are never multiplied; a hot document is split by the join on its left side.
+    """
+    header, head_no, line_no = LINE_HEADERS[name]
+    day = DOCUMENT_DATES[header]
+    month = (F.year(day) * 100 + F.month(day)).cast("int")
+    months = tables[header].filter(F.col(head_no).isNotNull()).groupBy(F.col(head_no).alias("__no")).agg(
+        F.min(month).alias("__first"), F.max(month).alias("__last"))
+    found = lines.join(months, F.col(line_no) == F.col("__no"), "left")
+    one = F.when(F.col("__first") == F.col("__last"), F.col("__first")).otherwise(F.lit(SEVERAL_MONTHS))
+    known = F.when(F.col("__first").isNull(), F.lit(NO_MONTH)).otherwise(one)
+    return found.withColumn(DOC_MONTH, known.cast("int")).drop("__no", "__first", "__last")
+
+
 def write_erp_lake(tables: Mapping[str, DataFrame], root: str, names: list[str] | None = None,
                    mode: str = "overwrite", normalise_blanks: bool = True, files: int | None = None,
                    partitioned: bool = False) -> None:
@@ -130,24 +157,28 @@ def write_erp_lake(tables: Mapping[str, DataFrame], root: str, names: list[str]
     range-clustered by their report date, lines and other large tables hash-clustered by their
     document key (size ``files`` so a file holds about 128 MB). Small label tables keep one
     file. ``partitioned`` adds folder partitions: headers by ``doc_month`` (yyyymm of the report
-    date), period tables by their year and month columns. Without ``files`` the incoming partitioning is kept and rows are only sorted by the
+    date), lines by the ``doc_month`` of their header, period tables by their year and month
+    columns. Without ``files`` the incoming partitioning is kept and rows are only sorted by the
     document date within each file. Each table is one distributed write; a lost executor only
     re-runs its own tasks.
     """
-    from .schemas import DOC_MONTH, PERIOD_PARTITIONS
-
     for name in names or list(tables):
         df = blanks_to_null(tables[name]) if normalise_blanks else tables[name]
         date_col = DOCUMENT_DATES.get(name)
         key_col = CLUSTER_KEYS.get(name)
         if files is not None and date_col is not None:
             df = df.repartitionByRange(files, date_col)
-        elif files is not None and key_col is not None:
+        elif files is not None and key_col is not None and not (partitioned and name in LINE_HEADERS):
             df = df.repartition(files, key_col)
         parts: list[str] = []
         if partitioned and date_col is not None:
             df = df.withColumn(DOC_MONTH, (F.year(date_col) * 100 + F.month(date_col)).cast("int"))
             parts = [DOC_MONTH]
+        elif partitioned and name in LINE_HEADERS and LINE_HEADERS[name][0] in tables:
+            df, parts = with_header_month(df, name, tables), [DOC_MONTH]
+            if files is not None:
+                # a month's lines in one to a few files: range by month, then document
+                df = df.repartitionByRange(files, DOC_MONTH, key_col)
         elif partitioned and name in PERIOD_PARTITIONS:
             parts = PERIOD_PARTITIONS[name]
         if date_col is not None:

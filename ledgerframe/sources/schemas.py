@@ -68,6 +68,18 @@ DOCUMENT_DATES: dict[str, str] = {
 # date, a derived column), period tables by their own year and month columns. Reports filter on
 # these, so a month report lists and reads only that month's folders.
 DOC_MONTH = "doc_month"
+# Lines of a partitioned lake carry the month of their header: (header table, its document number,
+# the line's document number). A document number with headers of several months has a value of its own,
+# and so has one without a dated header.
+LINE_HEADERS: dict[str, tuple[str, str, str]] = {
+    "apcb_t": ("apca_t", "apcadocno", "apcbdocno"),
+    "glaq_t": ("glap_t", "glapdocno", "glaqdocno"),
+    "inbb_t": ("inba_t", "inbadocno", "inbbdocno"),
+    "isag_t": ("isaf_t", "isafdocno", "isagdocno"),
+    "xmdh_t": ("xmdg_t", "xmdgdocno", "xmdhdocno"),
+}
+SEVERAL_MONTHS = 0
+NO_MONTH = -1
 PERIOD_PARTITIONS: dict[str, list[str]] = {
     "xcbl_t": ["xcbl002", "xcbl003"],
     "xcea_t": ["xcea004", "xcea005"],
