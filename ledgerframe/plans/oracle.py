@@ -22,3 +22,8 @@ def with_fixtures(body: str, ctes: Sequence[tuple[str, str]] = ()) -> str:
     parts = [f"{name} AS ({FIXTURE_SQL[name]})" for name in used]
     parts += [f"{name} AS ({sql})" for name, sql in ctes]
     return ("WITH " + ",\n".join(parts) + "\n" + body) if parts else body
+
+
+def with_steps(result: str, **steps: str) -> str:
+    """``result`` over named steps, each of which may use the ones before it."""
+    return with_fixtures(result, list(steps.items()))
