@@ -15,9 +15,9 @@ differences to a leader that is highly similar are kept; the sets with one leade
   shingles of their differences (rarest first). An index over those finds them, again with leaders
   of lists first: a set takes over the class of the leader it links with, and later visits skip
   what has one class already. Lists over whole sets are not looked at within a group.
-* Index skipping: across groups, a list is cut into blocks by size class. A set only visits the
-  blocks whose sizes can reach t, the largest group of a list never visits itself, and pairs whose
-  shared positions and numbers leave too few shingles are passed over before any set is compared.
+* Index skipping: across groups, a list is cut into blocks by size class and position. A set only
+  visits the blocks whose sizes and positions can reach t, the largest group of a list never visits
+  itself, and pairs whose prefixes share too few shingles are passed over before any set is compared.
 
 Defined results: null or word-free texts have an empty set, size 0, and link with nothing; fewer
 than ``width`` words are one shingle; rows with a null doc_id have a null component and link with
@@ -28,14 +28,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerframe.llm.common import BITMAP_BITS, bitmap_of, forget, in_bitmap, lower_ascii, stored, words
+from ledgerframe.llm.common import bitmap_of, forget, in_bitmap, lower_ascii, stored, words
 from ledgerframe.llm.components import components
 
-#: At most this many shingles are kept out of the prefixes: a quarter of the bitmap's bits.
-MOST_FREQUENT = BITMAP_BITS // 4
 #: A leader is highly similar from this similarity on, in percent.
 RELATED = 60
 
@@ -55,39 +53,29 @@ def _prefix_length(n: Column, percent: int) -> Column:
     return F.when(n > 0, n - F.ceil(n * percent / 100).cast("int") + 1).otherwise(0)
 
 
-def frequent_shingles(sets: DataFrame, percent: int) -> Column:
-    """Bitmap of the shingles with the longest index lists, at most MOST_FREQUENT of them.
+def _counted_below(percent: int) -> int:
+    """Shingles with a hash below this are counted: some 2.5 times as many of each set as its prefix takes."""
+    return -(2**63) + min(int(2.5 * (100 - percent) / 100 * 2**64), 2**64 - 1)
 
-    It counts the first shingles of all documents in the plain order of hashes. Any fixed order of
-    shingles gives the same links; the one made from this bitmap keeps frequent shingles out of the
-    prefixes.
-    """
-    first = F.slice("first", F.lit(1), (_prefix_length(F.col("n"), percent) * 3 / 2).cast("int"))
-    lists = stored(sets.select(F.explode(first).alias("s")).groupBy("s").agg(F.count("*").alias("k")).filter("k >= 4"), "frequent")
-    shortest, total = 4, 0
-    sizes = lists.groupBy(F.floor(F.log2("k")).cast("int").alias("e")).agg(F.count("*").alias("n")).collect()
-    for e, n in sorted(((r["e"], r["n"]) for r in sizes), reverse=True):  # one row for each power of two
-        total += n
-        if total > MOST_FREQUENT:
-            shortest = 2 ** (e + 1)
-            break
-    return bitmap_of(lists.filter(F.col("k") >= shortest).select("s"))
-
-
-def _prefixes(sets: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """(sid, n, prefix) of each set in ``sets``: infrequent shingles first, then by hash.
-
-    Most prefixes are found among the first shingles, which are at hand; only where these are too
-    few, all shingles of the text are looked at again.
+
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """Index entries (sid, n, pos, token): the prefix shingles that another set may have in its own.
+
+    One order of shingles for all sets: the counted ones by the number of sets that have them, then
+    by hash; the others after them by hash. ``first`` holds what that order needs: all counted
+    shingles (``counted`` many), more if the prefix is longer. A shingle that one set has alone is
+    no entry, but takes its place in the order. A set holds a shingle once, so no shingle has more
+    entries than there are sets.
     """
-    frequent = frequent_shingles(sets, percent)
-    length = _prefix_length(F.col("n"), percent)
-    near = sets.withColumn("near", F.filter("first", lambda s: ~in_bitmap(s, frequent)))
-    done = near.filter((F.size("near") >= length) | (F.size("first") == F.col("n"))).withColumn("all", F.concat("near", F.filter("first", lambda s: in_bitmap(s, frequent))))
-    more = near.filter((F.size("near") < length) & (F.size("first") < F.col("n"))).select("sid", "d1", "n")
-    whole = _texts_of(more.select("sid"), docs).select("sid", shingles(F.col("text"), width).alias("s")).join(more.withColumnRenamed("sid", "sid2"), (F.col("sid") == F.col("sid2")) & (F.xxhash64("s") == F.col("d1")))
-    rest = whole.withColumn("all", F.concat(F.filter("s", lambda s: ~in_bitmap(s, frequent)), F.filter("s", lambda s: in_bitmap(s, frequent))))
-    return done.select("sid", "n", F.slice("all", F.lit(1), length).alias("prefix")).union(rest.select("sid", "n", F.slice("all", F.lit(1), length).alias("prefix")))
+    listed = sets.select("sid", "d1", "n", "counted", F.posexplode("first").alias("i", "token"))
+    common = listed.withColumn("k", F.count("*").over(Window.partitionBy("token"))).filter("k > 1")
+    late = F.col("i") >= F.col("counted")
+    place = F.struct(late.alias("late"), F.when(late, F.col("i").cast("long")).otherwise(F.col("k")).alias("by"), "token", "i")
+    ranked = common.groupBy("sid", "d1").agg(F.first("n").alias("n"), F.first("counted").alias("counted"), F.sort_array(F.collect_list(place)).alias("ranked"))
+    alone = F.col("counted") - F.size(F.filter("ranked", lambda x: ~x["late"]))
+    entries = ranked.select("sid", "n", alone.alias("alone"), F.posexplode("ranked").alias("j", "x"))
+    pos = F.when(F.col("x.late"), F.col("x.i") + 1).otherwise(F.col("alone") + F.col("j") + 1)
+    return entries.select("sid", "n", pos.alias("pos"), F.col("x.token").alias("token")).filter(F.col("pos") <= _prefix_length(F.col("n"), percent))
 
 
 def _texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
@@ -106,25 +94,34 @@ def _similar(percent: int) -> Column:
     return 100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))
 
 
-def _likely(met: DataFrame, percent: int, leaders: bool) -> DataFrame:
-    """Pairs (a, b) that share enough of their prefixes.
+def _led_much(met: DataFrame, index: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a set and a leader of much of what it has in lists: worth comparing, links or not."""
+    least = F.least("la", "lb") * 0.15
+    pairs = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max(least).alias("least")).filter("shared >= least - 1e-6")
+    listed = index.groupBy(F.col("sid").alias("a")).agg(F.count("*").alias("listed"))
+    return pairs.join(listed, "a").filter("shared >= listed * 0.4 - 1e-6").select("a", "b")
+
 
-    What two sets share lies in both prefixes, or after the end of one: the similarity needs
-    ``least`` shared prefix shingles. The first of them leaves enough shingles after its positions.
-    Leaders are not about links: a set is compared with those that lead much of what it has in lists.
+def _likely(pairs: DataFrame, index: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b, na, nb) that share enough of their prefixes.
+
+    What two sets share lies in both prefixes, or after the end of one.
     """
+    in_pairs = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    prefixes = index.join(in_pairs, "sid", "left_semi").groupBy("sid").agg(F.collect_set("token").alias("prefix"))
+    both = pairs.join(prefixes.select(F.col("sid").alias("a"), F.col("prefix").alias("ta")), "a").join(prefixes.select(F.col("sid").alias("b"), F.col("prefix").alias("tb")), "b")
     length_a, length_b = _prefix_length(F.col("na"), percent), _prefix_length(F.col("nb"), percent)
-    sizes = F.col("na") + F.col("nb")
-    least = F.greatest(F.least(length_a, length_b) * 0.15, F.col("listed") * 0.4) if leaders else percent * sizes / (100 + percent) - F.greatest(F.col("na") - length_a, F.col("nb") - length_b)
-    most = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    first = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & ((100 + percent) * most >= percent * sizes)
-    pairs = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max(first.cast("int")).alias("first"), F.max(least).alias("least"))
-    return pairs.filter((F.col("shared") >= F.col("least") - 1e-6) & (F.lit(leaders) | (F.col("first") == 1))).select("a", "b")
+    least = percent * (F.col("na") + F.col("nb")) / (100 + percent) - F.greatest(F.col("na") - length_a, F.col("nb") - length_b)
+    return both.filter(F.size(F.array_intersect("ta", "tb")) >= least - 1e-6).select("a", "b").distinct()
+
 
+def _full_sets(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(sid, s): the whole sets of all documents in ``pairs``."""
+    return stored(_texts_of(pairs.select(F.explode(F.array("a", "b")).alias("sid")), docs).select("sid", shingles(F.col("text"), width).alias("s")), "full")
 
-def _compared(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+
+def _compared(pairs: DataFrame, full: DataFrame) -> DataFrame:
     """The pairs with both whole sets (columns sa, sb) and the size of their intersection."""
-    full = stored(_texts_of(pairs.select(F.explode(F.array("a", "b")).alias("sid")), docs).select("sid", shingles(F.col("text"), width).alias("s")), "full")
     both = pairs.join(full.select(F.col("sid").alias("a"), F.col("s").alias("sa")), "a").join(full.select(F.col("sid").alias("b"), F.col("s").alias("sb")), "b")
     return both.select("a", "b", "sa", "sb", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"))
 
@@ -137,45 +134,50 @@ def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3, doc_i
     """
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     whole = base.select("doc_id", shingles(F.col("text"), width).alias("s")).withColumn("n", F.size("s"))
-    # one row for each document: size, 128-bit digest of its set, the first shingles by hash
-    some = F.slice("s", F.lit(1), 2 * _prefix_length(F.col("n"), percent) + 16)
-    sets = stored(whole.select("doc_id", "n", F.xxhash64("s").alias("d1"), F.xxhash64(F.lit(1), "s").alias("d2"), some.alias("first")), "sets")
+    # one row for each document: size, 128-bit digest of its set, the shingles that its prefix may take
+    whole = whole.withColumn("counted", F.size(F.filter("s", lambda x: x < _counted_below(percent))))
+    some = F.slice("s", F.lit(1), F.greatest("counted", _prefix_length(F.col("n"), percent)))
+    sets = stored(whole.select("doc_id", "n", "counted", F.xxhash64("s").alias("d1"), F.xxhash64(F.lit(1), "s").alias("d2"), some.alias("first")), "sets")
     with_id = sets.filter("doc_id IS NOT NULL AND n > 0")
     key = ["d1", "d2", "n"]
     same = with_id.groupBy(*key).agg(F.min("doc_id").alias("sid"))
     member = stored(with_id.select("doc_id", *key).join(same, key), "member")
     reps = with_id.join(same.withColumnRenamed("sid", "doc_id"), ["doc_id", *key], "left_semi").dropDuplicates(["doc_id", *key]).withColumnRenamed("doc_id", "sid")
     # the index: prefix shingles that two different sets have at least
-    entries = _prefixes(reps, base, percent, width).select("sid", "n", F.posexplode("prefix").alias("pos", "token")).withColumn("pos", F.col("pos") + 1)
-    entries = stored(entries, "entries")
+    entries = stored(_prefixes(reps, percent), "entries")
     shared = entries.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo < hi").select("token")
     index = stored(entries.join(shared, "token", "left_semi").withColumn("block", _size_class(F.col("n"), percent)), "index")
     forget(entries)
 
     repeated = member.groupBy("doc_id").agg(F.min("sid").alias("b"), F.max("sid").alias("a")).filter("a <> b").select("a", "b")
-    pairs = stored(_likely(_leader_pairs(index), percent, True), "pairs")
-    led = _compared(pairs, base, width).filter(100 * F.col("common") >= min(RELATED, percent) * (F.col("na") + F.col("nb") - F.col("common")))
+    pairs = stored(_led_much(_leader_pairs(index, percent), index), "pairs")
+    full = _full_sets(pairs, base, width)
+    led = _compared(pairs, full).filter(100 * F.col("common") >= min(RELATED, percent) * (F.col("na") + F.col("nb") - F.col("common")))
     led = stored(led.select("a", "b", "na", "nb", "common", F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa")).alias("delta")), "led")
+    forget(pairs), forget(full)
     links = repeated.union(led.filter(_similar(percent)).select("a", "b"))
     groups = stored(_groups(led, percent), "groups")
-    links = _links_in_groups(groups, links, percent)
+    links = stored(_links_in_groups(groups, links, percent), "links")
+    forget(led)
     classes = stored(components(links), "classes")
-    pairs = stored(_likely(_pairs_across(index, classes, groups, percent), percent, False), "pairs")
-    links = links.union(stored(_compared(pairs, base, width).filter(_similar(percent)).select("a", "b"), "links"))
+    known = _open_lists(index, classes, groups)
+    met = stored(_pairs_across(known, percent), "met")
+    pairs = stored(_likely(met, index, percent), "pairs")
+    full = _full_sets(pairs, base, width)
+    links = stored(links.union(_compared(pairs, full).filter(_similar(percent)).select("a", "b")), "links")
+    for done in (index, known, met, pairs, full, groups, classes):
+        forget(done)
     classes = stored(components(links), "classes")
 
     result = member.join(classes.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", *key, F.coalesce("component", "sid").alias("component_id")).dropDuplicates(["doc_id", *key])
-    forget(index), forget(led), forget(groups)
     return sets.select("doc_id", *key).join(result, ["doc_id", *key], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _leader_pairs(index: DataFrame) -> DataFrame:
-    """Each entry (a) with the leader of its list (b)."""
-    leaders = index.groupBy("token").agg(F.min(F.struct(F.xxhash64("sid").alias("h"), "sid", "n", "pos")).alias("lead"))
-    leaders = leaders.select("token", F.col("lead.sid").alias("b"), F.col("lead.n").alias("nb"), F.col("lead.pos").alias("pb"))
-    listed = index.groupBy(F.col("sid").alias("a")).agg(F.count("*").alias("listed"))
-    met = index.select("token", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa")).join(leaders, "token").filter("a <> b")
-    return met.join(listed, "a")
+def _leader_pairs(index: DataFrame, percent: int) -> DataFrame:
+    """Each entry (a) with the leader of its list (b), and the lengths of both prefixes."""
+    leaders = index.groupBy("token").agg(F.min(F.struct(F.xxhash64("sid").alias("h"), "sid", "n")).alias("lead"))
+    leaders = leaders.select("token", F.col("lead.sid").alias("b"), _prefix_length(F.col("lead.n"), percent).alias("lb"))
+    return index.select("token", F.col("sid").alias("a"), _prefix_length(F.col("n"), percent).alias("la")).join(leaders, "token").filter("a <> b")
 
 
 def _groups(led: DataFrame, percent: int) -> DataFrame:
@@ -237,20 +239,43 @@ def _with_class(sets: DataFrame, classes: DataFrame) -> DataFrame:
     return known.withColumn("class", F.coalesce("class", "sid"))
 
 
-def _pairs_across(index: DataFrame, classes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different classes and groups that meet in a list.
-
-    The largest group of a list isn't paired with itself: only the others visit the list's blocks.
-    """
+def _open_lists(index: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
+    """The entries of lists in which different classes and groups meet, with class, group and the list's largest group."""
     known = _with_class(index, classes).join(groups.select("sid", "lead"), "sid", "left").withColumn("group", F.coalesce("lead", "sid")).drop("lead")
     known = stored(known, "known")
     per = known.groupBy("token", "group").agg(F.count("*").alias("k"), F.min("class").alias("lo"), F.max("class").alias("hi"))
     lists = per.groupBy("token").agg(F.count("*").alias("groups"), F.max(F.struct("k", "group")).alias("top"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     lists = lists.filter("groups > 1 AND lo < hi").select("token", F.col("top.group").alias("top"))
-    open_ = known.join(lists, "token")
-    visiting = open_.filter("group <> top").select("token", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"), F.col("sid").alias("sid2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("class").alias("class2"), F.col("group").alias("group2"))
+    opened = stored(known.join(lists, "token"), "open")
+    forget(known)
+    return opened
+
+
+def _late(n: Column, pos: Column, percent: int) -> Column:
+    """Whether an entry stands too late to be the first shingle that its set shares with a larger one."""
+    return (100 + percent) * (1 + n - pos) < 2 * percent * n
+
+
+def _pairs_across(open_: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b, na, nb) of different classes and groups whose first shared shingle may be in a list.
+
+    The largest group of a list isn't paired with itself: only the others visit the list's blocks. A
+    block holds one size class and is early or late by its entries' positions. The first shingle that
+    two similar sets share leaves enough shingles behind it in both; so it is early in the smaller
+    one. Late entries skip the late blocks and those of larger sets, early ones the late blocks of
+    smaller sets.
+    """
+    late = _late(F.col("n"), F.col("pos"), percent)
+    place = lambda step, late: F.struct((F.col("block") + step).alias("block"), F.lit(late).alias("late"))
+    early_too = F.array(place(-1, False), place(0, False), place(1, False), place(0, True), place(1, True))
+    blocks = F.when(late, F.array(place(-1, False), place(0, False))).otherwise(early_too)
+    visiting = open_.filter("group <> top").select("token", F.explode(blocks).alias("at"), F.col("sid").alias("sid2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("class").alias("class2"), F.col("group").alias("group2"))
+    visiting = visiting.withColumn("block", F.col("at.block")).withColumn("late", F.col("at.late")).drop("at")
     apart = (F.col("class") != F.col("class2")) & (F.col("group") != F.col("group2"))
     sizes = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
-    met = open_.join(visiting, ["token", "block"]).filter(apart & sizes & ((F.col("group") == F.col("top")) | (F.col("sid") < F.col("sid2"))))
+    enough = (100 + percent) * (1 + F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))) >= percent * (F.col("n") + F.col("n2"))
+    once = (F.col("group") == F.col("top")) | (F.col("sid") < F.col("sid2"))
+    met = open_.withColumn("late", late).join(visiting, ["token", "block", "late"]).filter(apart & sizes & enough & once)
     larger = F.col("sid") > F.col("sid2")
-    return met.select(F.greatest("sid", "sid2").alias("a"), F.least("sid", "sid2").alias("b"), *[F.when(larger, x).otherwise(y).alias(z) for x, y, z in ((F.col("n"), F.col("n2"), "na"), (F.col("n2"), F.col("n"), "nb"), (F.col("pos"), F.col("pos2"), "pa"), (F.col("pos2"), F.col("pos"), "pb"))])
+    pair = [F.greatest("sid", "sid2").alias("a"), F.least("sid", "sid2").alias("b"), F.when(larger, F.col("n")).otherwise(F.col("n2")).alias("na"), F.when(larger, F.col("n2")).otherwise(F.col("n")).alias("nb")]
+    return met.select(*pair).distinct()
