@@ -263,29 +263,36 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
     return df.mapInArrow(run, _with(df, [(text, T.StringType())]))
 
 
-def round_trip(df: DataFrame, path: str, text: str = "text") -> DataFrame:
+def round_trip(df: DataFrame, path: str, text: str = "text", with_ids: bool = False) -> DataFrame:
     """Encode and decode in one pass: n_tokens, ids_sha256 and decoded_sha256 instead of ``text``.
 
-    ids_sha256 is over the ids as little-endian unsigned 32-bit integers, decoded_sha256 over the
+    ``with_ids`` adds the ids themselves. One codec in one worker a core serves both ways. ids_sha256 is over the ids as little-endian unsigned 32-bit integers, decoded_sha256 over the
     decoded text in UTF-8, both lowercase hex.
     """
     shared = _spec(df, path)
     fields = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
+    all_fields = fields + [("ids", T.ArrayType(T.IntegerType()))] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
         for batch in batches:
             out: list[tuple[int, str, str]] = []
+            flats: list[np.ndarray] = []
             for block in _blocks([t or "" for t in batch.column(text).to_pylist()]):
                 flat, count = codec.encode(block)
+                flats.append(flat)
                 for ids in np.split(flat, np.cumsum(count)[:-1]):
                     back = codec.decode(ids).encode()
                     out.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(back).hexdigest()))
             kept = batch.drop_columns([text]) if text in batch.schema.names else batch
             columns = zip(*out, strict=True) if out else ([], [], [])
-            yield _added(kept, {n: pa.array(c, pa.int64() if n == "n_tokens" else pa.string()) for (n, _), c in zip(fields, columns, strict=True)})
+            made = {n: pa.array(c, pa.int64() if n == "n_tokens" else pa.string()) for (n, _), c in zip(fields, columns, strict=True)}
+            if with_ids:
+                upto = np.r_[0, np.cumsum([n for n, _, _ in out])].astype(np.int32)
+                made["ids"] = pa.ListArray.from_arrays(pa.array(upto), pa.array(np.concatenate([*flats, np.zeros(0, np.int64)]).astype(np.int32)))
+            yield _added(kept, made)
 
-    schema = _with(df.drop(text), fields)
+    schema = _with(df.drop(text), all_fields)
     return df.mapInArrow(run, schema)
 
 

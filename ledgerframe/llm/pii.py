@@ -1,8 +1,10 @@
 """Personal data by bootstrapped contextual extraction (operator 4).
 
-Base expressions find e-mail addresses, IP addresses, card and phone numbers. These seeds induce
-lexical patterns: the word before with the shape of the entity, the shape with the word after, and
-both words. Tokens with a digit or an @ that no base span covers are the instances that the
+Base expressions find e-mail addresses, IP addresses, card and phone numbers. Secrets are a further
+kind with strict seeds of its own: a long mix of letters and digits that is assigned to a name like
+token, key or password. These seeds induce lexical patterns: the word before with the shape of the
+entity, the shape with the word after, and both words. Tokens with a digit or an @ and groups of
+digits (joined by a space, dot, hyphen or bracket) that no seed covers are the instances that the
 patterns may vouch for. An instance's score in a pattern is the share of entities of a kind among
 the pattern's other instances; those not accepted count against it. Its best pattern decides.
 Accepted instances are entities for the patterns of others, until no value is added. So an instance
@@ -30,9 +32,13 @@ EXPRESSIONS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: Kinds that have seeds, but aren't base spans: they add spans.
+ADDED = ["secret"]
+SEEDS = {"secret": r"(?i)(?<=(?:token|secret|passwd|password|api[_-]?key|access[_-]?key|private[_-]?key)[\x20\x09]{0,3}[=:][\x20\x09]{0,3}[\x22\x27]{0,1})[A-Za-z0-9+/_-]{16,}+"}
 #: A text without these can't hold the kind.
-NEEDS = {"email": "@", "ip": "[0-9]", "card": "[0-9]", "phone": "[+]"}
+NEEDS = {"email": "@", "ip": "[0-9]", "card": "[0-9]", "phone": "[+]", "secret": "[=:][\\x20\\x09]{0,3}[\\x22\\x27]?[A-Za-z0-9+/_-]{16}"}
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+GROUPS = r"(?<![0-9A-Za-z+])\(?[0-9]++\)?(?:(?:[\x20.-]|[\x20]?\(|\)[\x20])[0-9]++)++(?![0-9A-Za-z@])"
 #: A pattern speaks from so many different seeds on; an instance is accepted from this score on.
 MIN_SEEDS, MIN_SCORE = 5, 0.9
 CONTEXT = 40
@@ -79,6 +85,8 @@ def _valid(kind: str, m: Column) -> Column:
         return F.when(n.between(14, 19), _luhn(_digits(m))).otherwise(False)
     if kind == "phone":
         return F.length(_digits(m)).between(10, 15)
+    if kind == "secret":
+        return m.rlike("[0-9]") & m.rlike("[A-Za-z]")
     return F.lit(True)
 
 
@@ -96,7 +104,10 @@ def _value(m: Column) -> Column:
 
 def _shape(m: Column) -> Column:
     runs = F.regexp_replace(F.regexp_replace(m, "[A-Za-z]+", "a"), "[0-9]+", "9")
-    return F.concat(runs, F.lit("#"), F.length(_digits(m)).cast("string"))
+    plain = F.concat(runs, F.lit("#"), F.length(_digits(m)).cast("string"))
+    # where letters and digits are mixed at length, their runs say nothing: the alphabet and the length do
+    mixed = m.rlike("^[A-Za-z0-9+/_-]{16,}$") & m.rlike("[0-9]") & m.rlike("[A-Za-z]")
+    return F.when(mixed, F.concat(F.when(m.rlike("^[0-9A-Fa-f]+$"), "hex").otherwise("mix"), F.lit("#"), F.length(m).cast("string"))).otherwise(plain)
 
 
 def _occurrence(text: Column, span: Column, kind: str | None) -> Column:
@@ -105,7 +116,7 @@ def _occurrence(text: Column, span: Column, kind: str | None) -> Column:
 
 
 def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, row, occurrences of each kind, tokens): what all else is made of, one row a document.
+    """(doc_id, row, occurrences of each kind, candidates): what all else is made of, one row a document.
 
     ``row`` is a hash of the text, by which rows of one doc_id are told apart.
     """
@@ -113,15 +124,17 @@ def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     out = docs.select("doc_id", t.alias("t"), F.xxhash64(t).alias("row"))
     for kind in KINDS:
         out = out.withColumn(f"m_{kind}", located(F.col("t"), EXPRESSIONS[kind], NEEDS[kind]))
-    out = out.withColumn("m_token", located(F.col("t"), TOKEN, "[0-9@]"))
-    made = [F.transform(F.filter(f"m_{kind}", _filter(kind)), _maker(kind)).alias(kind) for kind in KINDS]
+    for kind in ADDED:
+        out = out.withColumn(f"m_{kind}", located(F.col("t"), SEEDS[kind], NEEDS[kind]))
+    out = out.withColumn("m_token", located(F.col("t"), TOKEN, "[0-9@]")).withColumn("m_group", located(F.col("t"), GROUPS, r"[0-9][\x20.()-]{1,2}[0-9]"))
+    made = [F.transform(F.filter(f"m_{kind}", _filter(kind)), _maker(kind)).alias(kind) for kind in KINDS + ADDED]
     # tokens lose what isn't a letter or digit at their ends
     def trimmed(x: Column) -> Column:
         lead = F.length(F.regexp_extract(x["m"], r"^[^A-Za-z0-9+]*", 0))
         core = F.regexp_extract(x["m"], r"^[^A-Za-z0-9+]*(.*?)[^A-Za-z0-9]*$", 1)
         return F.struct((x["start"] + lead).alias("start"), (x["start"] + lead + F.length(core)).alias("end"), core.alias("m"))
 
-    tokens = F.transform(F.filter(F.transform("m_token", trimmed), lambda x: x["end"] > x["start"]), _maker(None))
+    tokens = F.transform(F.filter(F.concat(F.transform("m_token", trimmed), "m_group"), lambda x: x["end"] > x["start"]), _maker(None))
     return out.select("doc_id", "row", *made, tokens.alias("token"))
 
 
@@ -135,10 +148,10 @@ def _maker(kind: str | None):
 
 def discovered(found: DataFrame) -> DataFrame:
     """(value, kind): what the graph takes for entities, seeds included. ``found`` is from ``base_spans``."""
-    seeds = found.select(F.explode(F.concat(*KINDS)).alias("x")).select("x.*")
+    seeds = found.select(F.explode(F.concat(*KINDS, *ADDED)).alias("x")).select("x.*")
     tokens = found.select("doc_id", "row", F.explode("token").alias("x")).select("x.*")
     seen = seeds.union(tokens.select(*seeds.columns))
-    rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
+    rank = _order(F.col("kind"))
     kinds = stored(seeds.groupBy("value").agg(F.min(F.struct(rank.alias("r"), "kind")).alias("k")).select("value", F.col("k.kind").alias("kind")), "seeds")
     p = lambda *parts: F.concat_ws("|", *parts)
     patterns = F.array(p(F.lit("l"), "left", "shape"), p(F.lit("r"), "shape", "right"), p(F.lit("b"), "left", "right"))
@@ -160,7 +173,7 @@ def discovered(found: DataFrame) -> DataFrame:
 
 
 def _order(kind: Column) -> Column:
-    return F.array_position(F.array(*[F.lit(k) for k in KINDS]), kind)
+    return F.array_position(F.array(*[F.lit(k) for k in KINDS + ADDED]), kind)
 
 
 def _joined(spans: Column) -> Column:
@@ -174,12 +187,14 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
     found = stored(base_spans(docs, text), "spans")
     short = lambda a: F.transform(a, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
     base = short(F.concat(*KINDS))
-    tokens = found.select("doc_id", "row", base.alias("base"), F.explode("token").alias("x")).join(discovered(found).withColumnRenamed("kind", "known"), F.col("x.value") == F.col("value"))
-    free = tokens.filter(~F.exists("base", lambda b: (b["start"] < F.col("x.end")) & (b["end"] > F.col("x.start"))))
+    over = lambda x, spans: F.exists(spans, lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]))
+    own = F.concat(base, F.filter(short(F.concat(*ADDED)), lambda x: ~over(x, base)))
+    tokens = found.select("doc_id", "row", own.alias("own"), F.explode("token").alias("x")).join(discovered(found).withColumnRenamed("kind", "known"), F.col("x.value") == F.col("value"))
+    free = tokens.filter(~over(F.col("x"), F.col("own")))
     more = free.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_set(F.struct("x.start", "x.end", F.col("known").alias("kind"))).alias("more"))
     both = found.join(more, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left")
     none = F.expr("cast(array() as array<struct<start:int,end:int,kind:string>>)")
-    return both.select("doc_id", "row", base.alias("base"), F.concat(base, F.coalesce("more", none)).alias("spans"))
+    return both.select("doc_id", "row", base.alias("base"), F.concat(own, F.coalesce("more", none)).alias("spans"))
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -199,7 +214,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
 def op4_pii(docs: DataFrame) -> DataFrame:
     found = find(docs.select("doc_id", "text"))
     counts = [F.size(F.filter("base", _is(k))).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def _is(kind: str):
