@@ -71,9 +71,8 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     common = listed.withColumn("k", F.count("*").over(Window.partitionBy("token"))).filter("k > 1")
     late = F.col("i") >= F.col("counted")
     place = F.struct(late.alias("late"), F.when(late, F.col("i").cast("long")).otherwise(F.col("k")).alias("by"), "token", "i")
-    ranked = common.groupBy("sid", "d1").agg(F.first("n").alias("n"), F.first("counted").alias("counted"), F.sort_array(F.collect_list(place)).alias("ranked"))
-    alone = F.col("counted") - F.size(F.filter("ranked", lambda x: ~x["late"]))
-    entries = ranked.select("sid", "n", alone.alias("alone"), F.posexplode("ranked").alias("j", "x"))
+    ranked = common.groupBy("sid", "d1").agg(F.first("n").alias("n"), (F.first("counted") - F.sum((~late).cast("int"))).alias("alone"), F.sort_array(F.collect_list(place)).alias("ranked"))
+    entries = ranked.select("sid", "n", "alone", F.posexplode("ranked").alias("j", "x"))
     pos = F.when(F.col("x.late"), F.col("x.i") + 1).otherwise(F.col("alone") + F.col("j") + 1)
     return entries.select("sid", "n", pos.alias("pos"), F.col("x.token").alias("token")).filter(F.col("pos") <= _prefix_length(F.col("n"), percent))
 
@@ -107,8 +106,7 @@ def _likely(pairs: DataFrame, index: DataFrame, percent: int) -> DataFrame:
 
     What two sets share lies in both prefixes, or after the end of one.
     """
-    in_pairs = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    prefixes = index.join(in_pairs, "sid", "left_semi").groupBy("sid").agg(F.collect_set("token").alias("prefix"))
+    prefixes = index.groupBy("sid").agg(F.collect_set("token").alias("prefix"))
     both = pairs.join(prefixes.select(F.col("sid").alias("a"), F.col("prefix").alias("ta")), "a").join(prefixes.select(F.col("sid").alias("b"), F.col("prefix").alias("tb")), "b")
     length_a, length_b = _prefix_length(F.col("na"), percent), _prefix_length(F.col("nb"), percent)
     least = percent * (F.col("na") + F.col("nb")) / (100 + percent) - F.greatest(F.col("na") - length_a, F.col("nb") - length_b)
