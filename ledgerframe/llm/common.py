@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerframe.operators.steps import steps_folder
+
 #: The six characters that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\f\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -20,15 +21,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that driver and executors share.
-
-    A cluster names it in ``spark.checkpoint.dir``; only where nothing is set (tests on one machine)
-    a scratch folder is made.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ledgerframe-"))
-    return sc.getCheckpointDir()
+    """The checkpoint folder that driver and executors share; an error on a cluster that names none."""
+    return steps_folder(spark)
 
 
 def stored(df: DataFrame, name: str = "step") -> DataFrame:
