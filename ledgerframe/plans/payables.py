@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.compat import date_text, decode
 from ..functions.predicates import DEFAULT_ENTITY, equals_optional, lines_in, on_days
-from ..operators.joins import lines_of_headers
+from ..operators.joins import left_join_lines
 from ..operators.lookups import labels
 from ..params import DateRange
 
@@ -49,7 +49,8 @@ def report_ap_invoices(
     names = labels(t["pmaal_t"], "pmaal001", "pmaal004", lang_col="pmaal002", ent_col="pmaalent", entity=entity)
 
     joined = (
-        lines_of_headers(head, lines, ["apcadocno"], ["apcbdocno"], "payables")
+        # its rows are used once: a second scan of the key column costs less than writing them
+        left_join_lines(head, lines, ["apcadocno"], ["apcbdocno"])
         .join(names, F.col("apca004") == F.col("pmaal001"), "left")
         .withColumn("branch_no", decode("apca001", AP_KINDS, AP_KIND_OTHER))
     )

@@ -67,9 +67,11 @@ def test_lines_are_scanned_once_and_by_month(lakes, plans, name):
     scans = [line for plan in every for line in plan.splitlines() if "FileScan" in line]
     for table in once:
         own = [s for s in scans if re.search(rf"/{table}[\],]", s)]
-        assert len(own) == 1, (name, table, len(own))
+        # payables use their rows once and stay lazy: their second scan reads the month's keys only
+        assert len(own) == (2 if name == "payables" else 1), (name, table, len(own))
+        assert name != "payables" or sum("struct<apcbent:int,apcbdocno:string>" in s for s in own) == 1
         if table in ("glaq_t", "inbb_t", "isag_t", "xmdh_t", "apcb_t") and table == once[0]:
-            assert re.search(r"PartitionFilters: \[[^]]*doc_month#\d+ >= 199503", own[0]), own[0]
+            assert all(re.search(r"PartitionFilters: \[[^]]*doc_month#\d+ >= 199503", s) for s in own), own
     assert sorted(map(str, df.collect())) == sorted(map(str, report(flat).collect()))
 
 
