@@ -207,18 +207,21 @@ def _links_in_groups(groups: DataFrame, links: DataFrame, percent: int) -> DataF
     # sets of different classes share over (e + e0) / 2 shingles of their differences
     least = F.greatest(F.lit(1), F.ceil((F.col("e") + F.col("e0")) / 2 - 1e-6))
     prefix = F.slice("delta", F.lit(1), F.greatest(F.lit(0), F.size("delta") - least + 1).cast("int"))
-    lists = stored(groups.join(hub, "lead").select("lead", "sid", "e", F.explode(prefix).alias("token")), "lists")
+    lists = groups.join(hub, "lead").select("lead", "sid", "e", F.size("delta").alias("size"), F.posexplode(prefix).alias("i", "token"))
+    # what two sets can share at most if this is the first shingle of their differences that they share
+    lists = stored(lists.select("lead", "sid", "e", (F.col("size") - F.col("i")).alias("rest"), "token"), "lists")
+    able = F.col("e") + F.col("e2") <= 2 * F.least("rest", "rest2") + 1e-6
     key = ["lead", "token"]
     for turn in range(3):
         known = _with_class(lists, components(links))
-        per = known.groupBy(*key, "class").agg(F.count("*").alias("k"), F.min(F.struct(F.col("e") if turn == 0 else F.xxhash64("sid").alias("e"), F.col("sid"))).alias("best"))
+        per = known.groupBy(*key, "class").agg(F.count("*").alias("k"), F.min(F.struct(F.col("e").alias("by") if turn == 0 else F.xxhash64("sid").alias("by"), "sid", "e", "rest")).alias("best"))
         tops = per.groupBy(*key).agg(F.count("*").alias("classes"), F.max(F.struct("k", "class")).alias("top"), F.min("best").alias("best")).filter("classes > 1")
-        open_ = known.join(tops.select(*key, F.col("top.class").alias("top"), F.col("best.sid").alias("y")), key)
+        open_ = known.join(tops.select(*key, F.col("top.class").alias("top"), F.col("best.sid").alias("y"), F.col("best.e").alias("e2"), F.col("best.rest").alias("rest2")), key)
         if turn < 2:
-            pairs = open_.filter("sid <> y").select(F.col("sid").alias("x"), "y").distinct()
+            pairs = open_.filter((F.col("sid") != F.col("y")) & able).select(F.col("sid").alias("x"), "y").distinct()
         else:
-            visiting = open_.filter("class <> top").select(*key, F.col("sid").alias("y"), F.col("class").alias("class2"))
-            pairs = open_.drop("y").join(visiting, key).filter((F.col("class") != F.col("class2")) & ((F.col("class") == F.col("top")) | (F.col("sid") < F.col("y")))).select(F.col("sid").alias("x"), "y").distinct()
+            visiting = open_.filter("class <> top").select(*key, F.col("sid").alias("y"), F.col("class").alias("class2"), F.col("e").alias("e2"), F.col("rest").alias("rest2"))
+            pairs = open_.drop("y", "e2", "rest2").join(visiting, key).filter(able & (F.col("class") != F.col("class2")) & ((F.col("class") == F.col("top")) | (F.col("sid") < F.col("y")))).select(F.col("sid").alias("x"), "y").distinct()
         links = links.union(stored(_from_differences(pairs, groups, percent), "links"))
     return links
 

@@ -83,6 +83,22 @@ def test_set_join_finds_all_links(docs, texts, percent, width):
     assert all(r["n_shingles"] == expected[r["doc_id"]][0] for r in got if r["doc_id"] is not None)
 
 
+def test_set_join_links_by_shared_differences(spark):
+    """Variants around the threshold, many of which link with each other but not with the group's first."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(140):
+        w = list(base)
+        for at in rng.sample(range(0, 150, 6), rng.randint(0, 7)):
+            w[at] = f"{rng.choice('xyz')}{at}"  # few other words for one place: differences that many share
+        rows.append((i, " ".join(w)))
+    got = set_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 90, 3).collect()
+    expected = components_of(rows, 90, 3)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == expected
+    assert 1 < len({c for _, c in expected.values()}) < 140
+
+
 def test_masks_fit_any_two_substitutions():
     width = decontamination.WINDOW
     for gone in itertools.combinations(range(width), decontamination.SUBSTITUTIONS):
