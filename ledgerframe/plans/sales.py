@@ -21,7 +21,8 @@ from ..functions.compat import (
 )
 from ..functions.predicates import DEFAULT_ENTITY, lines_in, on_days, tenant_rows
 from ..operators.joins import drop_null_keys, lines_of_headers, only_keys
-from ..operators.lookups import distinct_list, first_per_key, labels, max_per_key, ordered_list
+from ..operators.lookups import distinct_list, first_per_key, labels, max_per_key
+from ..operators.ranges import long_list_per_key, sort_by_known_cuts
 from ..params import DateRange
 
 # Shipment-notice status texts (other codes pass through).
@@ -134,9 +135,10 @@ def report_order_fulfilment(t: Mapping[str, DataFrame], dates: DateRange, entity
         "xmda033", "oofb011", "isag002_list", "isaf011_list", "xmdg008", "ooibl004", "xmdg009", "oocql004",
     )
     if ordered:
-        # ORDER BY the raw notice date (O4); document number and order break ties.
-        out = out.orderBy(F.col("__docdt").asc_nulls_last(), F.col("xmdgdocno").asc_nulls_last(),
-                          F.col("xmdh001").asc_nulls_last())
+        # ORDER BY the raw notice date (O4); document number, order and item break ties. The cuts come
+        # from the written rows, so the joins above aren't computed a second time to sample them.
+        keys = rows.withColumnRenamed("xmdgdocdt", "__docdt")
+        out = sort_by_known_cuts(out, ["__docdt", "xmdgdocno", "xmdh001", "xmdh006"], keys)
     return out.drop("__docdt")
 
 
@@ -146,9 +148,10 @@ def branch_text(c: str) -> F.Column:
 
 def settlement_lists(xrce: DataFrame) -> DataFrame:
     """Per invoice number: ``LISTAGG(xrce003 || ',' || xrcedocno) WITHIN GROUP (ORDER BY
-    xrcedocno)`` with no separator; NULL parts are skipped (``,RC-..`` for a NULL code)."""
+    xrcedocno)`` with no separator; NULL parts are skipped (``,RC-..`` for a NULL code).
+    Made in two levels, so no task holds all rows of a hot invoice number."""
     text = concat_null_safe("xrce003", F.lit(","), "xrcedocno")
-    return xrce.groupBy("xrce054").agg(ordered_list(text, [F.col("xrcedocno")], "").alias("list_docno"))
+    return long_list_per_key(xrce, ["xrce054"], text, ["xrcedocno"], "list_docno")
 
 
 def shipment_chain(t: Mapping[str, DataFrame], entity: int, keys: DataFrame | None = None) -> DataFrame:

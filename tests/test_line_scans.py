@@ -129,3 +129,9 @@ def test_steps_need_a_shared_folder_on_a_cluster(monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         steps_folder(Session())
+
+
+def test_fulfilment_sort_computes_its_joins_once(lakes):
+    """A range sort would run everything below it a second time to sample it."""
+    plan = report_order_fulfilment(lakes[1], MARCH)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan
