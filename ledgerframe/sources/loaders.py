@@ -6,7 +6,9 @@ Catalyst prunes every scan to the columns and rows the plan needs.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+import datetime as dt
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,37 +90,107 @@ def as_declared(df: DataFrame, name: str) -> DataFrame:
     return df.select(*[F.col(found[f.name]).cast(f.dataType).alias(f.name) for f in declared])
 
 
+def _sql_literal(value: object) -> str:
+    if isinstance(value, dt.datetime):
+        return f"TIMESTAMP '{value.isoformat(' ')}'"
+    if isinstance(value, dt.date):
+        return f"DATE '{value.isoformat()}'"
+    if isinstance(value, str):
+        return "'" + value.replace("'", "''") + "'"
+    if isinstance(value, (int, Decimal)) and not isinstance(value, bool):
+        return str(value)
+    raise TypeError(f"no literal for {value!r}")
+
+
+def range_predicates(column: str, cuts: Sequence[object]) -> list[str]:
+    """WHERE conditions that deal out all rows of a table, each row to exactly one of them.
+
+    ``cuts`` ascend strictly; the ranges are half-open, open at both ends, and rows without a value have
+    a condition of their own. Text works like dates and numbers, so document numbers can be dealt out.
+    The database must order the column as ``cuts`` do: for text, give cuts in its collation.
+    """
+    if any(a >= b for a, b in zip(cuts, cuts[1:])):  # type: ignore[operator]
+        raise ValueError("cuts must ascend strictly")
+    if not cuts:
+        return ["1 = 1"]
+    at = [_sql_literal(c) for c in cuts]
+    between = [f"{column} >= {a} AND {column} < {b}" for a, b in zip(at, at[1:])]
+    return [f"{column} < {at[0]}", *between, f"{column} >= {at[-1]}", f"{column} IS NULL"]
+
+
+def month_cuts(first: dt.date, last: dt.date) -> list[dt.date]:
+    """The first days of all months from that of ``first`` to the one after that of ``last``."""
+    months = range(first.year * 12 + first.month - 1, last.year * 12 + last.month + 1)
+    return [dt.date(m // 12, m % 12 + 1, 1) for m in months]
+
+
+def connection_shares(wanted: Mapping[str, int], budget: int) -> dict[str, int]:
+    """How many connections each table may hold, at most ``budget`` in all and ``wanted[table]`` each.
+
+    Every table gets one; the others go one at a time to the table whose tasks have the most left to read.
+    """
+    if budget < len(wanted):
+        raise ValueError(f"{len(wanted)} tables need as many connections, the budget is {budget}")
+    shares = dict.fromkeys(wanted, 1)
+    for _ in range(budget - len(wanted)):
+        open_ = [n for n in wanted if shares[n] < wanted[n]]
+        if not open_:
+            break
+        shares[max(open_, key=lambda n: (wanted[n] / shares[n], n))] += 1
+    return shares
+
+
 def read_erp_jdbc(
     spark: SparkSession,
     url: str,
     properties: dict[str, str],
     partitioning: Mapping[str, tuple[str, int, int]] | None = None,
     num_partitions: int = 10,
+    predicates: Mapping[str, Sequence[str]] | None = None,
+    budget: int | None = None,
+    names: Sequence[str] | None = None,
 ) -> Tables:
     """ERP tables straight from the database over JDBC.
 
-    Connection details come from the caller only. ``partitioning`` maps a table to
-    ``(numeric column, lower bound, upper bound)`` for a parallel read; ``num_partitions``
-    caps concurrent connections per table (the role the source service's pool of 2-10
-    connections played); set it to what the database allows, up to the cluster's cores. Documents
-    and lines grow, and one task can't read them: without ``partitioning`` they are refused. Label
-    tables are read by one task. Columns get their declared types (``as_declared``).
+    Connection details come from the caller only. A large table is read in parallel either by
+    ``predicates``, one condition a range (``range_predicates`` over dates or document numbers), or by
+    ``partitioning``: ``(numeric column, lower bound, upper bound)``. Documents and lines grow, and one
+    task can't read them: without either they are refused. Label tables are read by one task. Columns
+    get their declared types (``as_declared``).
+
+    Without ``budget``, ``num_partitions`` caps the connections of each table. ``budget`` is one bound for
+    the tables in ``names`` (all by default), each read once: they share it (``connection_shares``), and
+    the tasks of a table read its ranges one after the other, a connection at a time. A plan that reads
+    a table several times at once needs a budget that is smaller by as much.
     """
-    parts = dict(partitioning or {})
+    parts, ranges = dict(partitioning or {}), {k: list(v) for k, v in (predicates or {}).items()}
+    both = sorted(parts.keys() & ranges.keys())
+    if both:
+        raise ValueError(f"either partitioning or predicates for {', '.join(both)}")
+    used = list(names or ERP_SCHEMAS)
+    wanted = {n: len(ranges[n]) if n in ranges else num_partitions if n in parts else 1 for n in used}
+    if budget is None:
+        shares = {n: min(num_partitions, w) for n, w in wanted.items()}
+    else:
+        shares = connection_shares(wanted, budget)
 
     def build(name: str) -> DataFrame:
-        if name in parts:
+        if name in ranges:
+            df = spark.read.jdbc(url, name, predicates=ranges[name], properties=properties)
+            # a task of a coalesced read goes through its ranges one by one, so it holds one connection
+            df = df.coalesce(shares[name])
+        elif name in parts:
             column, lower, upper = parts[name]
             df = spark.read.jdbc(url, name, column=column, lowerBound=lower, upperBound=upper,
-                                 numPartitions=num_partitions, properties=properties)
+                                 numPartitions=shares[name], properties=properties)
         elif name in CLUSTER_KEYS or name in DOCUMENT_DATES:
-            raise ValueError(f"{name} grows with the business: give its partitioning (column, lower, upper)")
+            raise ValueError(f"{name} grows with the business: give its partitioning (column, lower, upper) or predicates")
         else:
             df = spark.read.jdbc(url, name, properties=properties)
         # The source database stores empty text as NULL already: no normalisation needed.
         return as_declared(df, name)
 
-    return Tables(list(ERP_SCHEMAS), build)
+    return Tables(used, build)
 
 
 # Tables the test-data driver writes, one Parquet file each.

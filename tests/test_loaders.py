@@ -2,8 +2,9 @@ import datetime as dt
 from decimal import Decimal as D
 
 import pytest
+from pyspark.sql import functions as F
 
-from ledgerframe.sources.loaders import as_declared, read_erp_jdbc
+from ledgerframe.sources.loaders import as_declared, connection_shares, month_cuts, range_predicates, read_erp_jdbc
 from ledgerframe.sources.schemas import ERP_SCHEMAS
 
 
@@ -25,3 +26,67 @@ def test_large_tables_need_partitioning(spark):
     for name in ("apcb_t", "glap_t"):
         with pytest.raises(ValueError, match="partitioning"):
             tables[name]
+
+
+def _matches(df, predicates):
+    """How many of the conditions each row meets."""
+    met = sum((F.expr(f"coalesce(cast(({p}) AS int), 0)") for p in predicates), F.lit(0))
+    return {r.met for r in df.select(met.alias("met")).collect()}
+
+
+@pytest.mark.parametrize(("kind", "values", "cuts"), [
+    ("string", ["", "A", "AP-1", "AP-10", "AP-2", "O'Neil", "b", None], ["AP-1", "AP-2", "O'Neil"]),
+    ("timestamp_ntz", [None, *(dt.datetime(1995, m, d, 23, 59, 59) for m in (1, 2, 3, 12) for d in (1, 28))],
+     month_cuts(dt.date(1995, 2, 7), dt.date(1995, 3, 1))),
+    ("int", [None, -5, 0, 9, 10, 11, 99], [0, 10]),
+    ("int", [None, 1, 2], [2]),
+    ("int", [None, 1, 2], []),
+])
+def test_predicates_leave_no_gap_and_no_overlap(spark, kind, values, cuts):
+    df = spark.createDataFrame([(v,) for v in values], f"c {kind}")
+    assert _matches(df, range_predicates("c", cuts)) == {1}
+
+
+def test_cuts_must_ascend():
+    for cuts in (["b", "a"], ["a", "a"]):
+        with pytest.raises(ValueError, match="ascend"):
+            range_predicates("c", cuts)
+    with pytest.raises(TypeError):
+        range_predicates("c", [1.5])
+    assert month_cuts(dt.date(1995, 11, 30), dt.date(1996, 1, 1)) == [
+        dt.date(1995, 11, 1), dt.date(1995, 12, 1), dt.date(1996, 1, 1), dt.date(1996, 2, 1)]
+
+
+def test_connections_share_one_bound():
+    wanted = {"apcb_t": 90, "apca_t": 30, "pmaal_t": 1}
+    for budget in (3, 4, 10, 50, 500):
+        shares = connection_shares(wanted, budget)
+        assert sum(shares.values()) <= budget and all(1 <= shares[n] <= wanted[n] for n in wanted)
+    assert connection_shares(wanted, 13) == {"apcb_t": 9, "apca_t": 3, "pmaal_t": 1}
+    assert connection_shares(wanted, 500) == wanted
+    with pytest.raises(ValueError, match="budget"):
+        connection_shares(wanted, 2)
+
+
+def test_a_job_reads_its_ranges_within_the_bound(spark):
+    calls = {}
+
+    class Reader:
+        def jdbc(self, url, name, predicates=None, properties=None, **rest):
+            calls[name] = predicates, rest
+            return spark.createDataFrame([], ERP_SCHEMAS[name]).repartition(len(predicates or [0]))
+
+    class Session:
+        read = Reader()
+
+    days = range_predicates("apcadocdt", month_cuts(dt.date(1995, 1, 1), dt.date(1995, 12, 31)))
+    keys = range_predicates("apcbdocno", ["AP-2", "AP-4", "AP-6"])
+    names = ["apca_t", "apcb_t", "pmaal_t"]
+    t = read_erp_jdbc(Session(), "jdbc:none:", {}, predicates={"apca_t": days, "apcb_t": keys}, budget=6, names=names)
+    sizes = {n: t[n].rdd.getNumPartitions() for n in names}
+    assert calls["apca_t"][0] == days and calls["apcb_t"][0] == keys and calls["pmaal_t"][0] is None
+    assert sizes["apca_t"] + sizes["apcb_t"] + 1 <= 6 and sizes["apca_t"] > sizes["apcb_t"] > 0
+    with pytest.raises(ValueError, match="either"):
+        read_erp_jdbc(Session(), "jdbc:none:", {}, {"apca_t": ("x", 1, 2)}, predicates={"apca_t": days})
+    with pytest.raises(KeyError):
+        t["glap_t"]
