@@ -19,6 +19,7 @@ from .schemas import (
     DOC_MONTH,
     DOCUMENT_DATES,
     ERP_SCHEMAS,
+    FILTER_KEYS,
     LINE_HEADERS,
     NO_MONTH,
     PERIOD_PARTITIONS,
@@ -230,7 +231,8 @@ def write_erp_lake(tables: Mapping[str, DataFrame], root: str, names: list[str]
     document key (size ``files`` so a file holds about 128 MB). Small label tables keep one
     file. ``partitioned`` adds folder partitions: headers by ``doc_month`` (yyyymm of the report
     date), lines by the ``doc_month`` of their header, period tables by their year and month
-    columns. Without ``files`` the incoming partitioning is kept and rows are only sorted by the
+    columns. Voucher lines are clustered on two columns: within a month (or a flat file) they lie in the
+    order of their account, which R1 filters by prefix. Without ``files`` the incoming partitioning is kept and rows are only sorted by the
     document date within each file. Each table is one distributed write; a lost executor only
     re-runs its own tasks.
     """
@@ -249,12 +251,14 @@ def write_erp_lake(tables: Mapping[str, DataFrame], root: str, names: list[str]
         elif partitioned and name in LINE_HEADERS and LINE_HEADERS[name][0] in tables:
             df, parts = with_header_month(df, name, tables), [DOC_MONTH]
             if files is not None:
-                # a month's lines in one to a few files: range by month, then document
-                df = df.repartitionByRange(files, DOC_MONTH, key_col)
+                # a month's lines in one to a few files: range by month, then by what reports filter, or document
+                df = df.repartitionByRange(files, DOC_MONTH, FILTER_KEYS.get(name, key_col))
         elif partitioned and name in PERIOD_PARTITIONS:
             parts = PERIOD_PARTITIONS[name]
         if date_col is not None:
             df = df.sortWithinPartitions(*parts, date_col)
+        elif name in FILTER_KEYS:
+            df = df.sortWithinPartitions(*parts, FILTER_KEYS[name])
         writer = df.write.mode(mode)
         if parts:
             writer = writer.partitionBy(*parts)

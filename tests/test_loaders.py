@@ -1,10 +1,15 @@
 import datetime as dt
+import glob
 from decimal import Decimal as D
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ledgerframe.sources.loaders import as_declared, connection_shares, month_cuts, range_predicates, read_erp_jdbc
+from ledgerframe.sources import loaders
+from ledgerframe.sources.loaders import Tables, write_erp_lake
 from ledgerframe.sources.schemas import ERP_SCHEMAS
 
 
@@ -90,3 +95,41 @@ def test_a_job_reads_its_ranges_within_the_bound(spark):
         read_erp_jdbc(Session(), "jdbc:none:", {}, {"apca_t": ("x", 1, 2)}, predicates={"apca_t": days})
     with pytest.raises(KeyError):
         t["glap_t"]
+
+
+def _groups_to_read(folder):
+    """(row groups, those among them whose statistics admit an account that begins with 6 or 7)."""
+    every = wanted = 0
+    for path in glob.glob(f"{folder}/**/*.parquet", recursive=True):
+        meta = pq.ParquetFile(path).metadata
+        at = meta.schema.names.index("glaq002")
+        for g in range(meta.num_row_groups):
+            stats = meta.row_group(g).column(at).statistics
+            every += 1
+            wanted += stats.max >= "6" and stats.min < "8"
+    return every, wanted
+
+
+@pytest.mark.parametrize("partitioned", [False, True])
+def test_voucher_lines_are_clustered_by_account_too(spark, tmp_path, monkeypatch, partitioned):
+    accounts = F.format_string("%d%03d", F.expr("id % 9 + 1"), F.expr("id * 7919 % 1000"))
+    names = StructType.fromDDL(ERP_SCHEMAS["glaq_t"]).fields
+    made = {"glaqdocno": F.format_string("GL-%05d", F.expr("id div 40")), "glaq002": accounts, "glaq001": F.sha2(F.col("id").cast("string"), 256)}
+    lines = spark.range(40_000).select(*[made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in names])
+    heads = spark.range(1000).select(*[
+        {"glapdocno": F.format_string("GL-%05d", "id"), "glapdocdt": F.expr("date_add(date'1995-01-01', cast(id div 500 * 31 as int))")}
+        .get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(ERP_SCHEMAS["glap_t"]).fields])
+    t = Tables(["glap_t", "glaq_t"], {"glap_t": heads, "glaq_t": lines}.__getitem__)
+    spark.sparkContext._jsc.hadoopConfiguration().set("parquet.block.size", str(64 << 10))
+    spark.sparkContext._jsc.hadoopConfiguration().set("parquet.page.size.row.check.min", "100")
+    spark.sparkContext._jsc.hadoopConfiguration().set("parquet.block.size.row.check.min", "100")
+    try:
+        write_erp_lake(t, f"{tmp_path}/new", files=2, partitioned=partitioned)
+        monkeypatch.setattr(loaders, "FILTER_KEYS", {})
+        write_erp_lake(t, f"{tmp_path}/old", files=2, partitioned=partitioned)
+    finally:
+        for key in ("parquet.block.size", "parquet.page.size.row.check.min", "parquet.block.size.row.check.min"):
+            spark.sparkContext._jsc.hadoopConfiguration().unset(key)
+    new, old = _groups_to_read(f"{tmp_path}/new/glaq_t"), _groups_to_read(f"{tmp_path}/old/glaq_t")
+    assert new[0] >= 10 and old[1] == old[0] and new[1] <= new[0] * 0.5
+    assert spark.read.parquet(f"{tmp_path}/new/glaq_t").count() == 40_000
