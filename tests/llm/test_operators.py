@@ -248,6 +248,34 @@ def test_url_filters(spark):
     assert url_filters.judge(pages.limit(0)).count() == 0
 
 
+def _labelled(spark, rows):
+    return spark.createDataFrame([(f"u{i}", t, v) for i, (t, v) in enumerate(rows)], "url string, tokens array<string>, listed string")
+
+
+def test_url_rules_of_many_shared_keys(spark):
+    """25 keys that occur in all mixtures: the combinations stay bounded, the telling one is found."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(400):
+        bad = i % 2 == 0
+        rows.append(([f"q:k{k}" for k in range(25) if rng.random() < 0.8] + ["p0:de" if bad else "p0:fr"], "block" if bad else "allow"))
+    rules = {tuple(r["tokens"]): r for r in url_filters.mine(_labelled(spark, rows)).collect()}
+    assert len(rules) <= 2**url_filters.MAX_TOKENS / url_filters.MIN_SUPPORT
+    for tokens, said in ((("p0:de",), "block"), (("p0:fr",), "allow")):
+        assert rules[tokens]["said"] == said and rules[tokens]["confidence"] == 1 and rules[tokens]["support"] == 0.5
+    for tokens, r in rules.items():  # brute force over all tokens
+        held = [v for t, v in rows if set(tokens) <= set(t)]
+        assert r["confidence"] == held.count(r["said"]) / len(held) and r["support"] == held.count(r["said"]) / len(rows)
+
+
+def test_one_url_never_outranks_many(spark):
+    rows = [(["h:odd.example.com", "p0:fr"], "block")] + [(["p0:fr", "p1:a"], "allow")] * 30 + [(["p0:de"], "block")] * 30
+    rows += [(["h:few.com"], "block")] * 6
+    rules = {tuple(r["tokens"]): r for r in url_filters.mine(_labelled(spark, rows)).collect()}
+    assert ("h:odd.example.com",) not in rules and rules[("p0:fr",)]["said"] == "allow"
+    assert rules[("p0:fr",)]["bound"] > rules[("h:few.com",)]["bound"]
+
+
 def test_pii_base_and_discovery(spark):
     card, ip = "4111 1111-1111 1111", "10.0.0."
     rows = [(i, f"he said server {ip}{i} works. Card {card} here") for i in range(8)]
