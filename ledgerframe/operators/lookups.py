@@ -9,7 +9,7 @@ Scale notes:
   ``WindowGroupLimit`` before the shuffle, so a hot key ships one row per map task.
 * ``max_per_key`` / list builders aggregate partially before the shuffle.
 * A list is one output value per key. Distinct lists are deduplicated map-side; ``ordered_list``
-  keeps repeats, so all rows of one key meet in one task (``list_sizes`` reports the longest).
+  keeps repeats, so all rows of one key meet in one task; ``ranges.long_list_per_key`` is for hot keys.
 """
 
 from __future__ import annotations

@@ -61,7 +61,7 @@ def fanout_report(t: Mapping[str, DataFrame], entity: int = DEFAULT_ENTITY) -> D
 
 
 def list_sizes(t: Mapping[str, DataFrame], most: int = 100) -> DataFrame:
-    """``(xrce054, n_rows)`` of the ``most`` longest settlement lists: each is put together in one task."""
+    """``(xrce054, n_rows)`` of the ``most`` longest settlement lists, which end as one value each."""
     counted = t["xrce_t"].filter(F.col("xrce054").isNotNull()).groupBy("xrce054").agg(F.count(F.lit(1)).alias("n_rows"))
     return counted.orderBy(F.col("n_rows").desc(), "xrce054").limit(most)
 
