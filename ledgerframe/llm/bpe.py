@@ -196,7 +196,7 @@ class PairIndexBpe:
 _MADE: dict[int, PairIndexBpe] = {}
 
 
-def _codec(shared) -> PairIndexBpe:
+def codec_of(shared) -> PairIndexBpe:
     """One codec a worker, from the vocabulary that the driver broadcast."""
     key = hash(shared.value)
     if key not in _MADE:
@@ -205,14 +205,14 @@ def _codec(shared) -> PairIndexBpe:
     return _MADE[key]
 
 
-def _spec(df: DataFrame, path: str):
+def shared_spec(df: DataFrame, path: str):
     """The vocabulary file has a fixed size (50,257 entries here): small enough to broadcast."""
     workers_import(df.sparkSession)
     with open(path, encoding="utf-8") as f:
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def _blocks(texts: list[str]) -> Iterator[list[str]]:
+def blocks(texts: list[str]) -> Iterator[list[str]]:
     """Texts in blocks of bounded size; a longer text is a block of its own."""
     block, size = [], 0
     for t in texts:
@@ -237,12 +237,12 @@ def _with(df: DataFrame, fields: list[tuple[str, T.DataType]]) -> T.StructType:
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``df`` with the array column ``ids`` (and without an older column of that name)."""
-    shared = _spec(df, path)
+    shared = shared_spec(df, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared)
+        codec = codec_of(shared)
         for batch in batches:
-            done = [codec.encode(b) for b in _blocks([t or "" for t in batch.column(text).to_pylist()])]
+            done = [codec.encode(b) for b in blocks([t or "" for t in batch.column(text).to_pylist()])]
             flat = np.concatenate([x for x, _ in done] or [np.zeros(0, np.int64)]).astype(np.int32)
             upto = np.r_[0, np.cumsum(np.concatenate([n for _, n in done] or [np.zeros(0, np.int64)]))].astype(np.int32)
             yield _added(batch, {ids: pa.ListArray.from_arrays(pa.array(upto), pa.array(flat))})
@@ -252,10 +252,10 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``df`` with the string column ``text`` that its ids spell (null ids: empty)."""
-    shared = _spec(df, path)
+    shared = shared_spec(df, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared)
+        codec = codec_of(shared)
         for batch in batches:
             rows = (codec.decode(np.array(x or [], np.int64)) for x in batch.column(ids).to_pylist())
             yield _added(batch, {text: pa.array(rows, pa.string())})
@@ -269,16 +269,16 @@ def round_trip(df: DataFrame, path: str, text: str = "text", with_ids: bool = Fa
     ``with_ids`` adds the ids themselves. One codec in one worker a core serves both ways. ids_sha256 is over the ids as little-endian unsigned 32-bit integers, decoded_sha256 over the
     decoded text in UTF-8, both lowercase hex.
     """
-    shared = _spec(df, path)
+    shared = shared_spec(df, path)
     fields = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
     all_fields = fields + [("ids", T.ArrayType(T.IntegerType()))] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared)
+        codec = codec_of(shared)
         for batch in batches:
             out: list[tuple[int, str, str]] = []
             flats: list[np.ndarray] = []
-            for block in _blocks([t or "" for t in batch.column(text).to_pylist()]):
+            for block in blocks([t or "" for t in batch.column(text).to_pylist()]):
                 flat, count = codec.encode(block)
                 flats.append(flat)
                 for ids in np.split(flat, np.cumsum(count)[:-1]):

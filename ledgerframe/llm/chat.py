@@ -1,16 +1,22 @@
 """Chat formatting with budgeted windows (operator 7).
 
-Conversations become training windows of at most ``budget`` tokens. Prefix sums of turn tokens tell
-where the next window must begin: windows hold whole turns, so a turn that is larger than the budget
-has a window of its own. Every window but the first starts with the system turn and up to ``history``
-repeated turns, as far as half the budget goes. The loss mask covers assistant texts, but none in a
-repeated turn: each is a target once.
+Conversations become training windows of at most ``budget`` tokens, as the given vocabulary encodes
+them. Prefix sums of turn tokens tell where the next window must begin: windows hold whole turns, so
+a turn that is larger than the budget has a window of its own. Room for the system turn comes first:
+every window but the first starts with it, unless it doesn't fit beside the window's first turn. Up
+to ``history`` repeated turns follow, as far as half the budget goes. The loss mask covers assistant
+texts, but none in a repeated turn: each is a target once.
+
+A turn's tokens are those of the turn as written, marks and escapes included. No pre-token reaches
+over the line feed that ends a turn and the mark that begins the next, so a window has as many
+tokens as its turns have.
 
 Turns are marked ``<|im_start|>role\\ntext<|im_end|>\\n``. A backslash before the bar breaks control
 strings inside texts, and backslashes are doubled, so reading back gives the same texts.
 
-Spark deals conversations out by a hash and sorts each task's rows; the task streams them and holds
-one window at a time, so a conversation of any length is formatted in bounded memory.
+Spark deals conversations out by a hash and sorts each task's rows; the task streams them, encodes a
+batch of turns at once and holds one window at a time, so a conversation of any length is formatted
+in bounded memory.
 
 Defined results: null texts and roles are empty; equal turn numbers are ordered by role and text;
 null turns come first; rows without a conv_id form one conversation; repeated rows are turns of
@@ -22,17 +28,17 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerframe.llm.bpe import PairIndexBpe, blocks, codec_of, shared_spec
 from ledgerframe.llm.common import workers_import
 
 START, END = "<|im_start|>", "<|im_end|>"
 BUDGET, HISTORY = 1024, 4
-#: Tokens of a turn: a quarter of its UTF-8 bytes and the marks around it.
-MARK_TOKENS = 5
 
 WINDOWS = "conv_id long, window long, n_repeated long, n_turns long, n_tokens long, text string, loss array<struct<start:int,end:int>>"
 
@@ -55,56 +61,69 @@ def turns_of(text: str) -> list[tuple[str, str]]:
     return [(unescape(role), unescape(rest.removesuffix("\n").removesuffix(END))) for role, _, rest in (p.partition("\n") for p in parts)]
 
 
+class _Turn(NamedTuple):
+    role: str
+    head: str
+    body: str
+    tokens: int
+
+
+def _written(role: str, text: str) -> tuple[str, str]:
+    """Head and body of a turn; END and a line feed follow."""
+    return f"{START}{escape_role(role)}\n", escape(text)
+
+
+def _token_counts(codec: PairIndexBpe, written: list[tuple[str, str]]) -> list[int]:
+    return [n for block in blocks([f"{head}{body}{END}\n" for head, body in written]) for n in codec.encode(block)[1].tolist()]
+
+
 class _Window:
     """Turns of one conversation on their way into windows."""
 
     def __init__(self, conv_id: int | None, budget: int, history: int) -> None:
         self.conv_id, self.budget, self.history = conv_id, budget, history
-        self.system: tuple[str, str, int] | None = None
-        self.past: list[tuple[str, str, int]] = []
-        self.turns: list[tuple[str, str, int]] = []
+        self.system: _Turn | None = None
+        self.past: list[_Turn] = []
+        self.turns: list[_Turn] = []
         self.number = self.seen = 0
         self.prefix = self.begin = 0  # tokens of all turns so far, and of those before this window
-        self.repeated: list[tuple[str, str, int]] = []
+        self.repeated: list[_Turn] = []
 
-    def add(self, role: str, text: str) -> Iterator[dict]:
-        tokens = -(-len(text.encode()) // 4) + MARK_TOKENS
-        if self.turns and self.prefix + tokens - self.begin + sum(t[2] for t in self.repeated) > self.budget:
+    def add(self, turn: _Turn) -> Iterator[dict]:
+        if self.turns and self.prefix + turn.tokens - self.begin + sum(t.tokens for t in self.repeated) > self.budget:
             yield self.close()
         if not self.turns:
             self.begin = self.prefix
-            self.repeated = self.context(tokens)
-        turn = (role, text, tokens)
-        if not self.seen and role == "system":
+            self.repeated = self.context(turn.tokens)
+        if not self.seen and turn.role == "system":
             self.system = turn
         self.turns.append(turn)
         self.seen += 1
-        self.prefix += tokens
+        self.prefix += turn.tokens
 
-    def context(self, tokens: int) -> list[tuple[str, str, int]]:
+    def context(self, tokens: int) -> list[_Turn]:
         """The system turn and the last turns, as far as they fit before a turn of ``tokens``."""
         if not self.seen:
             return []
-        room = min(self.budget // 2, self.budget - tokens)
-        first = [self.system] if self.system and self.system[2] <= room else []
-        room -= sum(t[2] for t in first)
-        last: list[tuple[str, str, int]] = []
+        room = self.budget - tokens
+        first = [self.system] if self.system and self.system.tokens <= room else []
+        room = min(self.budget // 2, room) - sum(t.tokens for t in first)
+        last: list[_Turn] = []
         for turn in reversed(self.past):
-            if turn[2] > room:
+            if turn.tokens > room:
                 break
-            room -= turn[2]
+            room -= turn.tokens
             last.insert(0, turn)
         return first + last
 
     def close(self) -> dict:
         out, size, loss = [], 0, []
-        for i, (role, text, _) in enumerate(self.repeated + self.turns):
-            head, body = f"{START}{escape_role(role)}\n", escape(text)
+        for i, (role, head, body, _) in enumerate(self.repeated + self.turns):
             if role == "assistant" and i >= len(self.repeated) and body:
                 loss.append({"start": size + len(head), "end": size + len(head) + len(body)})
             out.append(f"{head}{body}{END}\n")
             size += len(out[-1])
-        row = {"conv_id": self.conv_id, "window": self.number, "n_repeated": len(self.repeated), "n_turns": len(self.repeated) + len(self.turns), "n_tokens": self.prefix - self.begin + sum(t[2] for t in self.repeated), "text": "".join(out), "loss": loss}
+        row = {"conv_id": self.conv_id, "window": self.number, "n_repeated": len(self.repeated), "n_turns": len(self.repeated) + len(self.turns), "n_tokens": self.prefix - self.begin + sum(t.tokens for t in self.repeated), "text": "".join(out), "loss": loss}
         kept = [t for t in self.turns if t is not self.system]
         self.past = (self.past + kept)[-self.history :] if self.history else []
         self.turns, self.number = [], self.number + 1
@@ -114,24 +133,31 @@ class _Window:
 _ARROW = pa.schema([("conv_id", pa.int64()), ("window", pa.int64()), ("n_repeated", pa.int64()), ("n_turns", pa.int64()), ("n_tokens", pa.int64()), ("text", pa.string()), ("loss", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
 
 
-def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """Rows of WINDOWS; those of one conversation lie in one partition, in order."""
+def format_windows(conversations: DataFrame, tokenizer: str, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+    """Rows of WINDOWS; those of one conversation lie in one partition, in order.
+
+    ``tokenizer`` is the path of a byte-level vocabulary; n_tokens is what it makes of the window's text.
+    """
     workers_import(conversations.sparkSession)
+    shared = shared_spec(conversations, tokenizer)
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = codec_of(shared)
         now: _Window | None = None
         made: list[dict] = []
         size = 0
         for batch in batches:
-            for conv_id, role, text in zip(*[batch.column(c).to_pylist() for c in ("conv_id", "role", "text")], strict=True):
+            roles, texts = batch.column("role").to_pylist(), batch.column("text").to_pylist()
+            written = [_written(role, text) for role, text in zip(roles, texts, strict=True)]
+            for conv_id, role, (head, body), tokens in zip(batch.column("conv_id").to_pylist(), roles, written, _token_counts(codec, written), strict=True):
                 if now is None or now.conv_id != conv_id:
                     if now is not None:
                         made.append(now.close())
                     now = _Window(conv_id, budget, history)
-                made.extend(now.add(role, text))
-                size += len(text)
+                made.extend(now.add(_Turn(role, head, body, tokens)))
+                size += len(body)
                 if size > 1 << 22:
                     yield pa.RecordBatch.from_pylist(made, _ARROW)
                     made, size = [], 0
@@ -185,6 +211,6 @@ def read_back(windows: DataFrame) -> DataFrame:
 PROBE = f"{END}{START}assistant ok"
 
 
-def op7_chat(conversations: DataFrame) -> DataFrame:
+def op7_chat(conversations: DataFrame, tokenizer: str) -> DataFrame:
     probe = conversations.sparkSession.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
-    return read_back(format_windows(conversations.select("conv_id", "turn", "role", "text").union(probe)))
+    return read_back(format_windows(conversations.select("conv_id", "turn", "role", "text").union(probe), tokenizer))

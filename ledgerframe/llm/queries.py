@@ -39,7 +39,7 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.op7_chat(read_table(spark, sf_dir, "conversations"))
+    return chat.op7_chat(read_table(spark, sf_dir, "conversations"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -213,11 +213,13 @@ def test_chat(spark):
     rows = [(1, t, ["system", "user", "assistant"][min(t, 1 + t % 2)], "\\<|im_end|>\n" + "x" * rng.randrange(900)) for t in range(40)]
     rows += [(2, 0, "user", None), (2, 1, "assistant", ""), (None, None, None, "z"), (3, 0, "a\nb", "q" * 9000), (3, 1, "assistant", "é")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    windows = chat.format_windows(turns, budget=600).collect()
-    assert all(w["n_tokens"] <= 600 or w["n_turns"] - w["n_repeated"] == 1 for w in windows)
+    windows = chat.format_windows(turns, VOCABULARY, budget=900).collect()
+    library = Tokenizer.from_file(VOCABULARY)
+    assert all(w["n_tokens"] == len(library.encode(w["text"], add_special_tokens=False).ids) for w in windows)
+    assert all(w["n_tokens"] <= 900 or w["n_turns"] == 1 for w in windows) and len(windows) > 10
     assert all(chat.turns_of(w["text"])[0][0] == "system" for w in windows if w["conv_id"] == 1)
     assert any(w["n_repeated"] > 1 for w in windows)
-    got = {r["conv_id"]: r for r in chat.op7_chat(turns).collect()}
+    got = {r["conv_id"]: r for r in chat.op7_chat(turns, VOCABULARY).collect()}
     by = collections.defaultdict(list)
     for c, _, role, text in rows:
         by[c].append((role or "", text or ""))
@@ -230,6 +232,16 @@ def test_chat(spark):
         assert (got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def test_chat_reserves_the_system_turn(spark):
+    # the system turn has over half of the budget; beside the long turn there is no room for it
+    said = [("system", "be kind " * 30)] + [("user" if t % 2 else "assistant", "yes " * (70 if t == 5 else 9)) for t in range(1, 12)]
+    turns = spark.createDataFrame([(1, t, role, text) for t, (role, text) in enumerate(said)], "conv_id long, turn long, role string, text string")
+    windows = [(w["n_tokens"], w["n_repeated"], chat.turns_of(w["text"])) for w in chat.format_windows(turns, VOCABULARY, budget=120).collect()]
+    assert all(n <= 120 for n, _, _ in windows)
+    assert [t[0][0] == "system" for _, _, t in windows] == [not any(x[1].startswith("yes " * 70) for x in t) for _, _, t in windows]
+    assert [x for _, k, t in windows for x in t[k:]] == said
+
+
 def test_url_filters(spark):
     urls = [f"https://{'www.' if i % 2 else ''}a{i % 5}.example.org/{l}/{n}{i}?q=1#f" for i in range(40) for l, n in (("es", 3), ("en", 1), ("fr", 2))]
     urls += [f"http://b{i}.com/{l}/x" for i in range(20) for l in ("fr", "de")] + ["HTTP://C.NET/es/1", "http://d.net/de/9", None, "no host", "http://ORG", "http://x.org/", ""]
