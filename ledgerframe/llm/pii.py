@@ -44,6 +44,11 @@ MIN_SEEDS, MIN_SCORE = 5, 0.9
 CONTEXT = 40
 
 SPAN = "array<struct<start:int,end:int,m:string>>"
+#: Matches are placed in runs of so many, then the runs: an array that grows by one match is copied each time.
+RUN = 128
+#: Texts are cut into blocks of so many code points, where contexts are looked up: a place far into a
+#: string is found by walking there.
+BLOCK = 1024
 
 
 def located(text: Column, expression: str, needs: str) -> Column:
@@ -61,7 +66,17 @@ def located(text: Column, expression: str, needs: str) -> Column:
         end = start + F.length(z["m"])
         return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), z["m"].alias("m")))).alias("out"))
 
-    return F.when(text.rlike(needs), F.aggregate(zipped, none, add, lambda acc: acc["out"])).otherwise(F.expr(f"cast(array() as {SPAN})"))
+    def append(acc: Column, run: Column) -> Column:
+        moved = F.transform(run["out"], lambda x: F.struct((x["start"] + acc["pos"]).alias("start"), (x["end"] + acc["pos"]).alias("end"), x["m"].alias("m")))
+        return F.struct((acc["pos"] + run["pos"]).alias("pos"), F.concat(acc["out"], moved).alias("out"))
+
+    def placed(matches: Column) -> Column:
+        begins = F.sequence(F.lit(1), F.greatest(F.size(matches), F.lit(1)), F.lit(RUN))
+        runs = F.transform(begins, lambda begin: F.aggregate(F.slice(matches, begin, F.lit(RUN)), none, add))
+        return F.aggregate(runs, none, append, lambda acc: acc["out"])
+
+    once = F.element_at(F.transform(F.array(zipped), placed), 1)
+    return F.when(text.rlike(needs), once).otherwise(F.expr(f"cast(array() as {SPAN})"))
 
 
 def _digits(m: Column) -> Column:
@@ -90,10 +105,18 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _around(text: Column, span: Column) -> tuple[Column, Column]:
+def _blocks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def _around(blocks: Column, span: Column) -> tuple[Column, Column]:
     """The words before and after a span, in lower case."""
-    before = F.substr(text, F.greatest(span["start"] - CONTEXT, F.lit(0)) + 1, F.least(span["start"], F.lit(CONTEXT)))
-    after = F.substr(text, span["end"] + 1, F.lit(CONTEXT))
+    first = F.greatest(F.floor((span["start"] - 1) / BLOCK).cast("int") - 1, F.lit(0))
+    last = F.floor(span["end"] / BLOCK).cast("int")
+    two = lambda i: F.concat(F.coalesce(F.get(blocks, i), F.lit("")), F.coalesce(F.get(blocks, i + 1), F.lit("")))
+    start = span["start"] - first * BLOCK
+    before = F.substr(two(first), F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT)))
+    after = F.substr(two(last), span["end"] - last * BLOCK + 1, F.lit(CONTEXT))
     return F.lower(F.regexp_extract(before, r"([^\x20\x09-\x0D]*)[\x20\x09-\x0D]*$", 1)), F.lower(F.regexp_extract(after, r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]*)", 1))
 
 
@@ -110,8 +133,8 @@ def _shape(m: Column) -> Column:
     return F.when(mixed, F.concat(F.when(m.rlike("^[0-9A-Fa-f]+$"), "hex").otherwise("mix"), F.lit("#"), F.length(m).cast("string"))).otherwise(plain)
 
 
-def _occurrence(text: Column, span: Column, kind: str | None) -> Column:
-    left, right = _around(text, span)
+def _occurrence(blocks: Column, span: Column, kind: str | None) -> Column:
+    left, right = _around(blocks, span)
     return F.struct(span["start"].alias("start"), span["end"].alias("end"), F.lit(kind).cast("string").alias("kind"), _value(span["m"]).alias("value"), _shape(span["m"]).alias("shape"), left.alias("left"), right.alias("right"))
 
 
@@ -121,7 +144,7 @@ def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     ``row`` is a hash of the text, by which rows of one doc_id are told apart.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    out = docs.select("doc_id", t.alias("t"), F.xxhash64(t).alias("row"))
+    out = docs.select("doc_id", t.alias("t"), F.xxhash64(t).alias("row")).withColumn("blocks", _blocks(F.col("t")))
     for kind in KINDS:
         out = out.withColumn(f"m_{kind}", located(F.col("t"), EXPRESSIONS[kind], NEEDS[kind]))
     for kind in ADDED:
@@ -143,7 +166,7 @@ def _filter(kind: str):
 
 
 def _maker(kind: str | None):
-    return lambda x: _occurrence(F.col("t"), x, kind)
+    return lambda x: _occurrence(F.col("blocks"), x, kind)
 
 
 def discovered(found: DataFrame) -> DataFrame:

@@ -103,3 +103,16 @@ def test_base_spans(spark):
         assert r["base_sha256"] == hashlib.sha256(",".join(listed).encode()).hexdigest()
         assert set(listed) <= set(r["spans"].split(",")) | {""}
     assert all(k >= 20 for k in n.values())
+
+
+def test_contexts_of_many_matches_in_one_text(spark):
+    # more matches than a run and longer than a block, with code points outside the basic plane
+    words = [w for i in range(700) for w in (f"🎉{i}", f"u{i}@h{i}.org", "É" * (i % 50))]
+    text = "  ".join(words)
+    found = pii.base_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["email"]
+    spans = [(m.start(), m.end()) for m in re.finditer(r"u[0-9]+@h[0-9]+\.org", text)]
+    assert [(x["start"], x["end"]) for x in found] == spans and len(spans) > 5 * pii.RUN and len(text) > 5 * pii.BLOCK
+    for x in found:
+        before, after = text[max(0, x["start"] - pii.CONTEXT) : x["start"]], text[x["end"] : x["end"] + pii.CONTEXT]
+        assert x["left"] == (WORD.findall(before) or [""])[-1].lower()
+        assert x["right"] == (WORD.findall(after) or [""])[0].lower()
