@@ -97,20 +97,28 @@ def window_hashes(raw: bytes, width: int) -> np.ndarray:
 
 
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Starts of all suffixes in order of their first ``depth`` symbols at least, by doubling."""
-    n = len(symbols)
-    rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
-    done = 1
+    """Starts of all suffixes in order of their first ``depth`` symbols at least, by doubling.
+
+    The first keys hold as many symbols as fit into 63 bits, so the first rounds need no sort.
+    """
+    n, done = len(symbols), 1
+    key = symbols.astype(np.int64) + 1
+    bits = int(key.max()).bit_length()
+    while 2 * done * bits <= 63:
+        behind = np.zeros(n, np.int64)
+        behind[: max(0, n - done)] = key[done:]
+        key = key << (bits * done) | behind
+        done *= 2
     while True:
-        key = rank * (n + 1)
-        key[: n - done] += rank[done:] + 1
         order = np.argsort(key)
         ordered = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.r_[0, ordered[1:] != ordered[:-1]])
-        done *= 2
         if done >= depth or rank[order[-1]] == n - 1:
             return order
+        key = rank * (n + 1)
+        key[: n - done] += rank[done:] + 1
+        done *= 2
 
 
 def common_at_least(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
