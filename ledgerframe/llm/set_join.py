@@ -54,8 +54,8 @@ def _prefix_length(n: Column, percent: int) -> Column:
 
 
 def _counted_below(percent: int) -> int:
-    """Shingles with a hash below this are counted: some 2.5 times as many of each set as its prefix takes."""
-    return -(2**63) + min(int(2.5 * (100 - percent) / 100 * 2**64), 2**64 - 1)
+    """Shingles with a hash below this are counted: some 1.5 times as many of each set as its prefix takes."""
+    return -(2**63) + min(int(1.5 * (100 - percent) / 100 * 2**64), 2**64 - 1)
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
