@@ -5,7 +5,9 @@ index holds, for every shingle in a set's prefix (rare shingles first; two sets
 similarity t share a prefix shingle), a list of (set, size, position).
 
 Sets first meet the leader of each of their lists only, the set that a hash puts first. The
-differences to a leader that is highly similar are kept; the sets with one leader are a group.
+differences to a leader that is similar are kept; the sets with one leader are a group. Highly
+similar leaders come first, but distant ones are better than none: what a set has in common with
+many others then lies in the reference, and only its differences are looked up.
 
 * Answer skipping: within a group, what a set links with follows from differences alone. Against
   any one reference set, |x ^ y| = |dx| + |dy| - 2 |dx & dy|; the reference is the leader with the
@@ -37,6 +39,10 @@ from ledgerframe.llm.components import components
 #: A leader is highly similar from this similarity on, in percent.
 RELATED = 60
 
+#: A set without such a leader joins the group of one that has this similarity at least: it shares
+#: that group's frequent shingles, and would visit all of its sets otherwise.
+LOOSE = 40
+
 
 def shingles(text: Column, width: int) -> Column:
     """Sorted distinct 64-bit hashes of the shingles."""
@@ -150,7 +156,7 @@ def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3, doc_i
     repeated = member.groupBy("doc_id").agg(F.min("sid").alias("b"), F.max("sid").alias("a")).filter("a <> b").select("a", "b")
     pairs = stored(_led_much(_leader_pairs(index, percent), index), "pairs")
     full = _full_sets(pairs, base, width)
-    led = _compared(pairs, full).filter(100 * F.col("common") >= min(RELATED, percent) * (F.col("na") + F.col("nb") - F.col("common")))
+    led = _compared(pairs, full).filter(100 * F.col("common") >= min(LOOSE, percent) * (F.col("na") + F.col("nb") - F.col("common")))
     led = stored(led.select("a", "b", "na", "nb", "common", F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa")).alias("delta")), "led")
     forget(pairs), forget(full)
     links = repeated.union(led.filter(_similar(percent)).select("a", "b"))
@@ -184,7 +190,8 @@ def _groups(led: DataFrame, percent: int) -> DataFrame:
     A set that others follow leads itself. ``delta`` is the difference to the group's reference,
     its shingles in order of their frequency in the group.
     """
-    first = led.groupBy("a").agg(F.min(F.struct(F.xxhash64("b").alias("h"), F.col("b"))).alias("lead")).select("a", F.col("lead.b").alias("b"))
+    loose = 100 * F.col("common") < min(RELATED, percent) * (F.col("na") + F.col("nb") - F.col("common"))
+    first = led.groupBy("a").agg(F.min(F.struct(loose.alias("loose"), F.xxhash64("b").alias("h"), F.col("b"))).alias("lead")).select("a", F.col("lead.b").alias("b"))
     chosen = led.join(first, ["a", "b"])
     heads = chosen.groupBy("b").agg(F.max("nb").alias("n"))
     follow = chosen.join(heads.select(F.col("b").alias("a")), "a", "left_anti").select(F.col("a").alias("sid"), F.col("b").alias("lead"), F.col("na").alias("n"), "delta")
