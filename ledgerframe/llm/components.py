@@ -25,21 +25,28 @@ def _stars(edges: DataFrame, both_ways: bool) -> DataFrame:
     return moved.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def _print_of(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+def _done(edges: DataFrame) -> bool:
+    """Whether each node has one smaller neighbour at most, which has none: then that is the smallest node reachable."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("smaller"), F.lit(0).alias("larger"))
+    ends = ends.union(edges.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("smaller").alias("smaller"), F.max("larger").alias("larger")).filter("smaller > 1 OR smaller + larger > 1").isEmpty()
+
+
+def linked(classes: DataFrame) -> DataFrame:
+    """As few links (a, b) as give the components ``classes`` (node, component)."""
+    return classes.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links`` (columns a, b); component is the smallest node reachable.
 
     Null ends and self-links are dropped, repeated links count once; no links give no rows. Each
-    round is written to the shared folder; the driver sees a count and a checksum only.
+    round is written to the shared folder; the driver only sees whether another one is needed.
     """
     now = stored(links.select("a", "b").dropna().filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    was, seen = None, _print_of(now)
-    while seen != was and seen[0]:
+    while not _done(now):
         after = stored(_stars(_stars(now, True), False), "links")
         forget(now)
-        now, was, seen = after, seen, _print_of(after)
+        now = after
     roots = now.select(F.col("b").alias("node")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots.select("node", F.col("node").alias("component")))

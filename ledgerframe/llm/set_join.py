@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerframe.llm.common import bitmap_of, forget, in_bitmap, lower_ascii, stored, words
-from ledgerframe.llm.components import components
+from ledgerframe.llm.components import components, linked
 
 #: A leader is highly similar from this similarity on, in percent.
 RELATED = 60
@@ -161,17 +161,16 @@ def jaccard_components(docs: DataFrame, percent: int = 90, width: int = 3, doc_i
     forget(pairs), forget(full)
     links = repeated.union(led.filter(_similar(percent)).select("a", "b"))
     groups = stored(_groups(led, percent), "groups")
-    links = stored(_links_in_groups(groups, links, percent), "links")
+    classes = _classes_in_groups(groups, links, percent)
     forget(led)
-    classes = stored(components(links), "classes")
     known = _open_lists(index, classes, groups)
     met = stored(_pairs_across(known, percent), "met")
     pairs = stored(_likely(met, index, percent), "pairs")
     full = _full_sets(pairs, base, width)
-    links = stored(links.union(_compared(pairs, full).filter(_similar(percent)).select("a", "b")), "links")
+    links = stored(linked(classes).union(_compared(pairs, full).filter(_similar(percent)).select("a", "b")), "links")
     for done in (index, known, met, pairs, full, groups, classes):
         forget(done)
-    classes = stored(components(links), "classes")
+    classes = components(links)
 
     result = member.join(classes.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", *key, F.coalesce("component", "sid").alias("component_id")).dropDuplicates(["doc_id", *key])
     return sets.select("doc_id", *key).join(result, ["doc_id", *key], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -207,10 +206,10 @@ def _groups(led: DataFrame, percent: int) -> DataFrame:
     return full.withColumn("e", F.size("delta") - F.col("n") * ((100 - percent) / (100 + percent)))
 
 
-def _links_in_groups(groups: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """``links`` and, between sets of one group, as many more as give the same classes as all would."""
+def _classes_in_groups(groups: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """(node, component) by ``links`` and, between sets of one group, as many more as give the same classes as all would."""
     hub = groups.groupBy("lead").agg(F.min(F.struct("e", "sid")).alias("hub")).select("lead", F.col("hub.sid").alias("y"), F.col("hub.e").alias("e0"))
-    links = links.union(stored(_from_differences(groups.join(hub, "lead").filter("sid <> y").select(F.col("sid").alias("x"), "y"), groups, percent), "links"))
+    classes = components(links.union(_from_differences(groups.join(hub, "lead").filter("sid <> y").select(F.col("sid").alias("x"), "y"), groups, percent)))
     # sets of different classes share over (e + e0) / 2 shingles of their differences
     least = F.greatest(F.lit(1), F.ceil((F.col("e") + F.col("e0")) / 2 - 1e-6))
     prefix = F.slice("delta", F.lit(1), F.greatest(F.lit(0), F.size("delta") - least + 1).cast("int"))
@@ -220,7 +219,7 @@ def _links_in_groups(groups: DataFrame, links: DataFrame, percent: int) -> DataF
     able = F.col("e") + F.col("e2") <= 2 * F.least("rest", "rest2") + 1e-6
     key = ["lead", "token"]
     for turn in range(3):
-        known = _with_class(lists, components(links))
+        known = _with_class(lists, classes)
         per = known.groupBy(*key, "class").agg(F.count("*").alias("k"), F.min(F.struct(F.col("e").alias("by") if turn == 0 else F.xxhash64("sid").alias("by"), "sid", "e", "rest")).alias("best"))
         tops = per.groupBy(*key).agg(F.count("*").alias("classes"), F.max(F.struct("k", "class")).alias("top"), F.min("best").alias("best")).filter("classes > 1")
         open_ = known.join(tops.select(*key, F.col("top.class").alias("top"), F.col("best.sid").alias("y"), F.col("best.e").alias("e2"), F.col("best.rest").alias("rest2")), key)
@@ -229,8 +228,10 @@ def _links_in_groups(groups: DataFrame, links: DataFrame, percent: int) -> DataF
         else:
             visiting = open_.filter("class <> top").select(*key, F.col("sid").alias("y"), F.col("class").alias("class2"), F.col("e").alias("e2"), F.col("rest").alias("rest2"))
             pairs = open_.drop("y", "e2", "rest2").join(visiting, key).filter(able & (F.col("class") != F.col("class2")) & ((F.col("class") == F.col("top")) | (F.col("sid") < F.col("y")))).select(F.col("sid").alias("x"), "y").distinct()
-        links = links.union(stored(_from_differences(pairs, groups, percent), "links"))
-    return links
+        found = stored(_from_differences(pairs, groups, percent), "links")
+        if not found.isEmpty():
+            classes = components(linked(classes).union(found))
+    return classes
 
 
 def _from_differences(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:

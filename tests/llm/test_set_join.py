@@ -1,11 +1,11 @@
-"""Set join: how many pairs are met."""
+"""Set join: how many pairs are met, and how many rounds components take."""
 
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerframe.llm import set_join
+from ledgerframe.llm import components, set_join
 from test_operators import components_of
 
 
@@ -35,3 +35,20 @@ def test_distant_copies_of_one_text_do_not_meet_all_others(spark, monkeypatch, p
     got = set_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), percent, width).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == components_of(rows, percent, width)
     assert met[0] <= 2 * len(rows)  # 39 distant copies and all 100 make over 2,000 pairs
+
+
+def test_components_end_with_the_round_that_finds_them(spark, monkeypatch):
+    written, write = [], components.stored
+
+    def noted(df, name="step"):
+        written.append(name)
+        return write(df, name)
+
+    monkeypatch.setattr(components, "stored", noted)
+    star = [(k, 1) for k in range(2, 30)] + [(50, 40)]
+    found = components.components(spark.createDataFrame(star, "a long, b long"))
+    assert dict(map(tuple, found.collect())) == {1: 1, 40: 40} | dict(star) and len(written) == 1
+    assert {tuple(r) for r in components.linked(found).collect()} == set(star)
+    chain = spark.createDataFrame([(k, k + 1) for k in range(20)] + [(30, 32), (31, 32), (7, 7), (None, 3)], "a long, b long")
+    assert dict(map(tuple, components.components(chain).collect())) == {k: 0 for k in range(21)} | {30: 30, 31: 30, 32: 30}
+    assert components.components(chain.limit(0)).collect() == []
